@@ -422,12 +422,16 @@ def q_impute_indicator(spark, sf_dir):
 
 
 def _labelled_documents(spark, sf_dir) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
-    text = d.select(
-        "doc_id", "lang", "source", "n_chars",
-        F.size(F.split("text", r"\s+")).alias("n_words"), F.length(F.regexp_replace("text", "[^0-9]", "")).alias("n_digits"),
-        F.length(F.regexp_replace("text", r"[^\n]", "")).alias("n_lines"))
-    return text.join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    text = F.col("text")
+
+    def count_of(chars: str):
+        return F.length(text) - F.length(F.translate(text, chars, ""))
+
+    return _table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+        "doc_id", "lang", "source", "n_chars", (count_of(" ") + 1).alias("n_words"),
+        count_of("0123456789").alias("n_digits"), count_of("\n").alias("n_lines"), count_of(".!?").alias("n_stops"),
+        "quality")
 
 
 def q_train_score(spark, sf_dir):
@@ -435,7 +439,7 @@ def q_train_score(spark, sf_dir):
     docs = _labelled_documents(spark, sf_dir)
     trees = CalibratedTreesFactory(TreeParams(stepSize=0.3, maxIter=4, maxLeaves=8), threads=3)
     factory = BinaryModelFactory(estimator_factory=trees, n_optimization_rounds=None, n_splits=3, oof="reuse",
-                                 selector=FeatureSelector(excludeFields=["source"]))
+                                 cache_input=True, selector=FeatureSelector(excludeFields=["source"]))
     model = factory.fit(docs, "quality", 1, key="doc_id")
     return score_job(docs, model, include=["doc_id", "quality"])
 

@@ -64,10 +64,10 @@ def balance_fill_rates(df: DataFrame, key, label: str | None, positive, fields:
         return df
 
     pos = is_positive(label, positive)
-    candidates = df.select(F.explode(F.filter(F.array(*[
-        F.when(pos == F.lit(fuller) if fuller else ~pos,
-               F.when(quoted(f).isNotNull(), F.struct(F.lit(f).alias("field"), order_hash(key, seed, f).alias("_order"))))
-        for f, (fuller, _) in removals.items()]), lambda s: s.isNotNull())).alias("s")).select("s.*")
+    candidates = df.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.when((pos if fuller else ~pos) & quoted(f).isNotNull(),
+                                                 order_hash(key, seed, f)).alias("_order"))
+        for f, (fuller, _) in removals.items()]))).where(F.col("_order").isNotNull())
     take = F.create_map(*[F.lit(v) for f, (_, count) in removals.items() for v in (f, count)])[F.col("field")]
     cuts = hash_cutoffs(candidates, ["field"], "_order", lambda n: [take])
     cutoff = {r["field"]: r["cutoff"] for r in cuts.collect()}       # one row per field

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
@@ -45,11 +46,9 @@ def fit_medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> di
     if not columns:
         return {}
     if exact:
-        found = {}
-        for c in columns:
-            values = quantile_list(df, c, 3)
-            found[c] = values[1] if values else 0.0
-        return found
+        with ThreadPoolExecutor(min(8, len(columns))) as pool:      # independent jobs
+            found = list(pool.map(lambda c: quantile_list(df, c, 3), columns))
+        return {c: values[1] if values else 0.0 for c, values in zip(columns, found)}
     row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), 0.5, 10_000).alias(f"m{i}")
                    for i, c in enumerate(columns)]).first()
     return {c: float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(columns)}

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from leadloom.functions.columns import quoted
 from leadloom.functions.fixed import MAX_QUERIES_PER_SECOND, PROVIDER_DEFAULTS
 from leadloom.operators.project import all_present, request_map, require_columns
+from leadloom.session import ship_package
 
 SPREAD = 64      # join partitions that rows without a key are spread over
 
@@ -155,6 +156,13 @@ def one_row_per_key(lookup: DataFrame, key: Sequence[str]) -> DataFrame:
     return picked.select(*[quoted(k) for k in key], *[F.col("_r").getField(c).alias(c) for c in rest])
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate is within the session's broadcast threshold."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return 0 <= size <= int(conf.autoBroadcastJoinThreshold())
+
+
 def enrich_lookup(df: DataFrame, lookup: DataFrame, on: Mapping[str, str] | Sequence[str], *,
                   prefix: str = "", suffix: str = "", unique: bool = False,
                   required: Sequence[str] = (), spread_missing: bool = True) -> DataFrame:
@@ -162,10 +170,11 @@ def enrich_lookup(df: DataFrame, lookup: DataFrame, on: Mapping[str, str] | Sequ
 
     ``on`` maps columns of ``df`` to key columns of ``lookup``. ``unique`` says
     the lookup has one row per key; otherwise the smallest record of a key is
-    used. Rows with a null in ``required`` (or in the key) match nothing and are
-    spread over the join partitions instead of piling up in one. Whether a side
-    is broadcast is left to the size check of the session's threshold; a hot key
-    of ``df`` is split by the adaptive skew join.
+    used. Whether the lookup is broadcast is the optimizer's decision by its size
+    against the session's threshold. Otherwise the join shuffles: a hot key of
+    ``df`` is split by the adaptive skew join, and rows with a null in
+    ``required`` or in the key, which match nothing, are spread over the
+    partitions instead of piling up in one.
     """
     pairs = dict(on) if isinstance(on, Mapping) else {c: c for c in on}
     require_columns(df, [*pairs, *required], ValueError)
@@ -184,13 +193,14 @@ def enrich_lookup(df: DataFrame, lookup: DataFrame, on: Mapping[str, str] | Sequ
         left = left.withColumn(f"_j{i}", F.when(eligible, quoted(c)))
         test = F.col(f"_j{i}") == F.col(f"_k{i}")
         condition = test if condition is None else condition & test
-    if spread_missing:
+    if spread_missing and not fits_broadcast(right):
         # 0 for rows that can match; 1..SPREAD, by row content, for the rest.
         hashed = [quoted(f.name) for f in df.schema.fields if _hashable(f.dataType)] or [F.lit(0)]
         spot = F.when(eligible, F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*hashed), F.lit(SPREAD)).cast("int") + 1)
         left = left.withColumn("_spot", spot)
-        right = right.withColumn("_zero", F.lit(0))
+        # Always 0, but not a constant to the optimizer: it has to stay a join key.
+        right = right.withColumn("_zero", F.pmod(F.xxhash64("_k0"), F.lit(1)).cast("int"))
         condition = condition & (F.col("_spot") == F.col("_zero"))
     joined = left.join(right, condition, "left")
     return joined.select(*[quoted(c) for c in df.columns],
@@ -307,6 +317,7 @@ def enrich_callable(df: DataFrame, spec: ProviderSpec, provider: Callable, field
     Delivery is at least once: a retried task calls again. Pass the result
     through :func:`leadloom.session.materialize` before using it twice.
     """
+    ship_package(df.sparkSession)
     source = list(source_columns or df.columns)
     require_columns(df, spec.required_fields, ValueError)
     tasks = task_count(spec, tasks)

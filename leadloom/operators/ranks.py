@@ -122,13 +122,16 @@ def running_totals(counts: DataFrame, order: str, sums: Sequence[str], buckets:
 
     placed = buckets.assign(counts, order)
     head = F.max_by if descending else F.min_by
+    # Counting over all columns keeps both readers of ``placed`` identical, so that
+    # they share one exchange instead of aggregating the rows twice.
+    names = ", ".join("`" + c.replace("`", "``") + "`" for c in counts.columns)
     totals = placed.groupBy("_bucket").agg(
-        *[F.sum(quoted(s)).alias(f"_t_{s}") for s in sums],
+        F.expr(f"count({names})").alias("_all"), *[F.sum(quoted(s)).alias(f"_t_{s}") for s in sums],
         *[head(quoted(f), quoted(order)).alias(f"_f_{f}") for f in following])
     order_b = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     across = Window.partitionBy(F.lit(0)).orderBy(order_b)   # at most MAX_BUCKETS rows
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    offsets = totals.where(F.col("_all") >= 0).select(
         "_bucket",
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.lead(f"_f_{f}").over(across).alias(f"_n_{f}") for f in following])
@@ -194,7 +197,7 @@ def exact_quantiles(df: DataFrame, column: str, points: int, values_per_bucket:
     steps = max(points - 1, 1)
     if n == 1 or points == 1:
         low = clean.agg(F.min("value").alias("value"))
-        return low.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).cast("bigint").alias("k"), "value",
+        return low.select(F.explode(F.expr(f"sequence(0L, {points - 1}L)")).alias("k"), "value",
                           F.lit(n).cast("bigint").alias("n"))
     span = n - 1
     first, last = F.col("cum_c") - F.col("c"), F.col("cum_c") - 1      # 0-based ranks of a value

@@ -60,10 +60,13 @@ def get_header(spark: SparkSession, path: str, delimiter: str = "\t", quotechar:
 
 
 def text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _check_names(names: Sequence[str]) -> None:
     repeated = sorted({n for n in names if list(names).count(n) > 1})
     if repeated:
         raise ValueError(f"column names repeat: {repeated}")
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def _ddl(names: Sequence[str]) -> str:
@@ -112,6 +115,7 @@ def _scan_lines(spark, paths, names, delimiter, header_line: bytes | None, safe,
 
 
 def _scan(spark, paths, names, delimiter, header_line, safe, keep_blank, multiline, malformed) -> DataFrame:
+    _check_names(names)
     if keep_blank and not multiline:
         return _scan_lines(spark, paths, names, delimiter, header_line, safe, malformed)
     return _scan_csv(spark, paths, names, delimiter, header_line is not None, safe, multiline, malformed)

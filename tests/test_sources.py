@@ -1,0 +1,133 @@
+import os
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from leadloom.functions.fixed import MISSING_TOKENS
+from leadloom.sources.delimited import chunks, expand_glob, get_header, read_delimited
+from leadloom.sources.sinks import (
+    ModelFolder, OutputName, read_json_document, write_chunks, write_delimited, write_json_document, write_metrics)
+
+
+def put(tmp_path, name, data):
+    path = tmp_path / name
+    path.write_bytes(data if isinstance(data, bytes) else data.encode())
+    return str(path)
+
+
+def test_bom_quotes_blank_lines_and_header_copies(spark, tmp_path):
+    path = put(tmp_path, "a.tsv", b'\xef\xbb\xbfid\tmy name\n1\t"a\tb"\n\n2\t"say ""hi"""\nid\tmy name\n')
+    assert get_header(spark, path) == ["id", "my name"]
+    want = [("1", "a\tb"), ("2", 'say "hi"'), ("id", "my name"), (None, None)]
+    assert rows(read_delimited(spark, path)) == want
+    assert rows(read_delimited(spark, path, keep_blank=False)) == want[:3]
+
+
+def test_every_missing_token(spark, tmp_path):
+    lines = "".join(f'"{t}"\tx\n' for t in MISSING_TOKENS) + "here\tx\nnone\tx\nabsent\tx\n"
+    path = put(tmp_path, "m.tsv", "v\tw\n" + lines)
+    got = [r["v"] for r in read_delimited(spark, path).where(F.col("v").isNotNull()).collect()]
+    assert sorted(got) == ["absent", "here", "none"]
+    more = read_delimited(spark, path, missing_values=["absent"])
+    assert more.where(F.col("v").isNull()).count() == len(MISSING_TOKENS) + 1
+
+
+def test_embedded_line_breaks(spark, tmp_path):
+    path = put(tmp_path, "e.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    assert rows(read_delimited(spark, path, ",", multiline=True)) == [("1", "x\ny"), ("2", "z")]
+
+
+@pytest.mark.parametrize("keep_blank", [True, False])
+def test_mixed_encodings(spark, tmp_path, keep_blank):
+    path = put(tmp_path, "l.tsv", "id\tn\n1\tcafé\n".encode() + "2\tcafé\n".encode("latin-1"))
+    got = rows(read_delimited(spark, path, safe=True, keep_blank=keep_blank))
+    assert got == [("1", "café"), ("2", "café")]
+
+
+def test_invalid_bytes_are_an_error_unless_safe(spark, tmp_path):
+    path = put(tmp_path, "l.tsv", b"id\n\xe9\n")
+    with pytest.raises(Exception, match="UTF8"):
+        read_delimited(spark, path).collect()
+
+
+def test_latin1_header(spark, tmp_path):
+    path = put(tmp_path, "h.tsv", "prénom\tn\n".encode("latin-1") + b"a\tb\n")
+    assert get_header(spark, path) == ["prénom", "n"]
+
+
+def test_headers_from_list_and_file(spark, tmp_path):
+    data = put(tmp_path, "d.tsv", "1\ta\n2\tb\n")
+    head = put(tmp_path, "h.tsv", "id\tname\n")
+    want = [("1", "a"), ("2", "b")]
+    assert rows(read_delimited(spark, data, header=["id", "name"])) == want
+    got = read_delimited(spark, data, header=head)
+    assert got.columns == ["id", "name"] and rows(got) == want
+    with pytest.raises(IOError):
+        read_delimited(spark, data, header=str(tmp_path / "nowhere"))
+    with pytest.raises(TypeError):
+        read_delimited(spark, data, header=3)
+    with pytest.raises(ValueError, match="repeat"):
+        read_delimited(spark, data, header=["a", "a"])
+
+
+def test_files_with_different_headers(spark, tmp_path):
+    a, b = put(tmp_path, "a.tsv", "x\ty\n1\t2\n"), put(tmp_path, "b.tsv", "y\tz\n3\t4\n")
+    c = put(tmp_path, "c.tsv", "x\ty\n5\t6\n")
+    got = read_delimited(spark, [a, b, c])
+    assert got.columns == ["x", "y", "z"]
+    assert rows(got) == [("1", "2", None), ("5", "6", None), (None, "3", "4")]
+    paths = expand_glob(spark, str(tmp_path / "*.tsv"))
+    assert [os.path.basename(p) for p in paths] == ["a.tsv", "b.tsv", "c.tsv"]
+    with pytest.raises(IOError):
+        expand_glob(spark, str(tmp_path / "*.none"))
+
+
+def test_dataframe_passes_through(spark):
+    df = spark.createDataFrame([("NA",)], "v string")
+    assert read_delimited(spark, df) is df
+
+
+def test_chunks_resume(spark):
+    df = spark.range(0, 25).withColumnRenamed("id", "k")
+    got = rows(chunks(df, 10, 1, order_by="k"), "k", "chunk")
+    assert got == [(k, k // 10) for k in range(10, 25)]
+    assert rows(chunks(df.coalesce(1), 10, 2), "k", "chunk") == [(k, 2) for k in range(20, 25)]
+    with pytest.raises(ValueError):
+        chunks(df, 0)
+
+
+def test_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a\tb", 'q"q', None), ("", "x y", "1")], "c string, d string, e string")
+    write_delimited(df, str(tmp_path / "out"))
+    got = read_delimited(spark, str(tmp_path / "out"))
+    assert rows(got) == [("a\tb", 'q"q', None), (None, "x y", "1")]
+
+
+def test_output_names(spark, tmp_path):
+    name = OutputName("out/$@_part_{3:03d}.txt", "/in/my_file.tsv", chunkstart=2, chunksize=10)
+    assert [name.path(i) for i in range(2)] == ["out/my_file_part_005.txt", "out/my_file_part_006.txt"]
+    assert OutputName("o_{:d}.txt").path(0) == "o_0.txt"
+    assert not OutputName("plain.txt").numbered
+    with pytest.raises(ValueError):
+        OutputName("x", chunkstart=1)
+    (tmp_path / "single").mkdir()
+    with pytest.raises(IOError):
+        OutputName(str(tmp_path / "single"), chunkstart=1, chunksize=5).check_resume(spark)
+
+
+def test_write_chunks(spark, tmp_path):
+    df = chunks(spark.range(0, 25).withColumnRenamed("id", "k"), 10, 1, order_by="k")
+    paths = write_chunks(df, "chunk", OutputName(str(tmp_path / "c_{0:02d}"), chunkstart=1, chunksize=10))
+    assert [os.path.basename(p) for p in paths] == ["c_01", "c_02"]
+    assert read_delimited(spark, paths[1]).count() == 5
+
+
+def test_documents_and_metrics(spark, tmp_path):
+    folder = ModelFolder(str(tmp_path / "m"))
+    folder.set_metadata(spark, {"note": "x"})
+    assert folder.get_metadata(spark)["note"] == "x" and "version" in folder.get_metadata(spark)
+    write_json_document(spark, {"a": [1, 2]}, str(tmp_path / "doc"))
+    assert read_json_document(spark, str(tmp_path / "doc")) == {"a": [1, 2]}
+    write_metrics({"t": spark.range(3)}, folder.report, "json")
+    assert spark.read.json(f"{folder.report}/t").count() == 3
