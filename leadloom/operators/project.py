@@ -114,14 +114,16 @@ def cast_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
 
     ``strict`` raises on text that is not a number, otherwise it becomes null.
     """
-    def number(c: str) -> Column:
-        return quoted(c).cast("double") if strict else quoted(c).try_cast("double")
-
-    chosen = [*categorical, *numeric]
-    return df.select(
-        *[quoted(c) for c in keep if c not in chosen],
-        *[quoted(c).cast("string").alias(c) if c in set(categorical) else number(c).alias(c)
-          for c in df.columns if c in set(chosen)])
+    texts, numbers, rest = set(categorical), set(numeric), set(keep)
+
+    def typed(c: str) -> Column:
+        if c in texts:
+            return quoted(c).cast("string").alias(c)
+        if c in numbers:
+            return (quoted(c).cast("double") if strict else quoted(c).try_cast("double")).alias(c)
+        return quoted(c)
+
+    return df.select(*[typed(c) for c in df.columns if c in texts | numbers | rest])
 
 
 def output_name(existing: Iterable[str], name: str) -> str:
