@@ -26,7 +26,8 @@ from leadloom.plans.binary_model import BinaryModelFactory  # noqa: E402
 from leadloom.plans.jobs import append_job, score_job  # noqa: E402
 from leadloom.plans.quantile import QuantileScore  # noqa: E402
 from leadloom.plans.selector import FeatureSelector  # noqa: E402
-from leadloom.plans.trees import CalibratedTreesFactory, TreeParams, out_of_fold  # noqa: E402
+from leadloom.plans.trees import (  # noqa: E402
+    CalibratedTreesFactory, TreeParams, auc_value, cross_validated_score, out_of_fold)
 from leadloom.session import scratch_path  # noqa: E402
 from leadloom.sources.delimited import chunks, concat_by_name, read_delimited  # noqa: E402
 from leadloom.sources.sinks import write_delimited  # noqa: E402
@@ -366,7 +367,7 @@ def q_feature_roles(spark, sf_dir):
 def q_select_features(spark, sf_dir):
     """Fitted selection with casts; the key stays."""
     r = _records(spark, sf_dir)
-    model = FeatureSelector(excludeFields=["order key"]).fit(r)
+    model = FeatureSelector(excludeFields=["order key", "text_256"]).fit(r)
     return model.transform(r).select("order key", *[quoted(c) for c in model.feature_names])
 
 
@@ -409,6 +410,16 @@ def q_out_of_fold(spark, sf_dir):
     return _round(out_of_fold(folds, fit, 5, "fold").select("o_orderkey", "fold", "rate"), "rate")
 
 
+def q_cross_validated(spark, sf_dir):
+    """mean area under the curve on the training and the test side of five folds."""
+    o = _table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    folds = stratified_folds(o, "o_orderkey", "y", 5)
+    fit = lambda d: _GroupRate(d.groupBy("o_orderpriority").agg(F.avg("y").alias("rate")))
+    scores = cross_validated_score(folds, fit, 5, lambda d: auc_value(d, "y", "rate"), "fold")
+    return _round(spark.createDataFrame([(scores["train"], scores["test"])], "train double, test double"), "train", "test")
+
+
 def q_ordinal_encode(spark, sf_dir):
     """G1: position among the sorted categories, null for missing."""
     s = _sparse_orders(spark, sf_dir).select("o_orderkey", "priority", "o_orderstatus")
@@ -566,7 +577,7 @@ _QUERIES = [
     q_project_include_exclude, q_field_remap, q_prefix_suffix, q_required_nonnull, q_request_map, q_booleanize_label,
     q_feature_cast, q_score_output, q_enrich_lookup, q_append_dedupe, q_append_multi, q_append_collision,
     q_json_unpack, q_append_stats, q_fill_rates, q_balance_fill, q_infer_types, q_profile_columns, q_feature_roles,
-    q_select_features, q_label_counts, q_stratified_split, q_kfold, q_balanced_sample, q_out_of_fold,
+    q_select_features, q_label_counts, q_stratified_split, q_kfold, q_balanced_sample, q_out_of_fold, q_cross_validated,
     q_ordinal_encode, q_impute_indicator, q_train_score, q_quantile_fit, q_quantile_score, q_split_counts,
     q_split_summary, q_decile_lift, q_roc_curve, q_roc_auc, q_calibration, q_prob_hist, q_score_hist,
     q_score_hist_100, q_threshold_curve, q_threshold_weighted, q_threshold_metrics, q_perm_importance,
@@ -593,6 +604,18 @@ split as (
 """
 
 
+_FOLD_RATES = f"""
+folds as (select o_orderkey, o_orderpriority, y,
+    cast(((row_number() over (partition by y order by {_draw('o_orderkey')}) - 1) * 5)
+         // count(*) over (partition by y) as int) as fold
+    from scored join (select o_orderkey, o_orderpriority from orders) using (o_orderkey)),
+parts as (select o_orderpriority, fold, sum(y) as p, count(*) as n from folds group by all),
+rates as (select a.o_orderpriority, b.fold, sum(p) filter (where a.fold <> b.fold)::double
+          / sum(n) filter (where a.fold <> b.fold) as rate
+          from parts a, range(0, 5) b(fold) group by all)
+"""
+
+
 def _quantiles_sql(source: str, value: str, points: str) -> str:
     """Interpolated quantiles by integer positions: columns k, value, n."""
     return f"""
@@ -747,15 +770,17 @@ def oracle_sql() -> dict[str, str]:
             select o_orderkey, y from (select *, row_number() over (partition by y order by {_draw('o_orderkey')}) as rn
             from scored), sizes where rn <= m""",
         "q_out_of_fold": f"""
-            with {_SCORED}, folds as (select o_orderkey, o_orderpriority, y,
-                cast(((row_number() over (partition by y order by {_draw('o_orderkey')}) - 1) * 5)
-                     // count(*) over (partition by y) as int) as fold
-                from scored join (select o_orderkey, o_orderpriority from orders) using (o_orderkey)),
-            parts as (select o_orderpriority, fold, sum(y) as p, count(*) as n from folds group by all),
-            rates as (select a.o_orderpriority, b.fold, sum(p) filter (where a.fold <> b.fold)::double
-                      / sum(n) filter (where a.fold <> b.fold) as rate
-                      from parts a, range(0, 5) b(fold) group by all)
+            with {_SCORED}, {_FOLD_RATES}
             select o_orderkey, fold, round(rate, 6) as rate from folds left join rates using (o_orderpriority, fold)""",
+        "q_cross_validated": f"""
+            with {_SCORED}, {_FOLD_RATES},
+            sides as (select r.fold as model, f.fold = r.fold as test, y, rate
+                      from folds f join rates r using (o_orderpriority)),
+            mids as (select model, test, y, rank() over (partition by model, test order by rate)
+                     + (count(*) over (partition by model, test, rate) - 1) / 2.0::double as mid from sides),
+            auc as (select model, test, (sum(mid) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2.0::double)
+                    / (sum(y)::double * sum(1 - y)::double) as v from mids group by model, test)
+            select round(avg(v) filter (where not test), 6) as train, round(avg(v) filter (where test), 6) as test from auc""",
         "q_ordinal_encode": f"""
             with {_SPARSE} select o_orderkey, priority, o_orderstatus,
             case when priority is not null then dense_rank() over (order by priority nulls last) - 1 end as priority_code,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -12,6 +13,7 @@ from typing import Any
 from urllib.parse import urlparse
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,9 @@ from pyspark.sql import types as T
 from leadloom.functions.columns import quoted
 from leadloom.functions.fixed import MAX_QUERIES_PER_SECOND, PROVIDER_DEFAULTS
 from leadloom.operators.project import all_present, request_map, require_columns
-from leadloom.session import ship_package
+
+# Provider code travels to the Python workers with the task: nothing to install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPREAD = 64      # join partitions that rows without a key are spread over
 
@@ -48,9 +52,16 @@ def first_result(wrapper: str) -> Callable:
 
 
 def first_result_column(payload: Column, wrapper: str, names: Sequence[str]) -> list[Column]:
-    """The same unpacking for a JSON column, as expressions: one per field name."""
-    spelled = [F.get_json_object(payload, f"$.{w}.results[0]") for w in (wrapper.capitalize(), wrapper)]
-    return [F.get_json_object(F.coalesce(*spelled), f"$.{n}").alias(n) for n in names]
+    """The same unpacking for a JSON column, as text expressions: one per field name.
+
+    All of them share one parse of the payload.
+    """
+    parsed = F.try_parse_json(payload)
+
+    def field_of(wrapped: str, name: str) -> Column:
+        return F.try_variant_get(parsed, f"$['{wrapped}'].results[0]['{name}']", "string")
+
+    return [F.coalesce(field_of(wrapper.capitalize(), n), field_of(wrapper, n)).alias(n) for n in names]
 
 
 def json_fields(payload: Column, schema: str | T.StructType) -> Column:
@@ -158,7 +169,7 @@ def one_row_per_key(lookup: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate is within the session's broadcast threshold."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     conf = df.sparkSession._jsparkSession.sessionState().conf()
     return 0 <= size <= int(conf.autoBroadcastJoinThreshold())
 
@@ -317,7 +328,6 @@ def enrich_callable(df: DataFrame, spec: ProviderSpec, provider: Callable, field
     Delivery is at least once: a retried task calls again. Pass the result
     through :func:`leadloom.session.materialize` before using it twice.
     """
-    ship_package(df.sparkSession)
     source = list(source_columns or df.columns)
     require_columns(df, spec.required_fields, ValueError)
     tasks = task_count(spec, tasks)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -64,16 +62,3 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers; once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="leadloom-"), "leadloom"), "zip", root, "leadloom")
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)

@@ -17,20 +17,20 @@ from leadloom.operators.project import consolidate_missing
 from leadloom.operators.ranks import row_index
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    hpath, fs = _hadoop_path(spark, path)
+    hpath, fs = hadoop_path(spark, path)
     return fs.exists(hpath)
 
 
 def expand_glob(spark: SparkSession, pattern: str) -> list[str]:
     """Paths that match a pattern, by file-system metadata only."""
-    hpath, fs = _hadoop_path(spark, pattern)
+    hpath, fs = hadoop_path(spark, pattern)
     found = fs.globStatus(hpath)
     paths = sorted(s.getPath().toString() for s in (found or []))
     if not paths:
