@@ -21,6 +21,7 @@ from leadloom.operators.enrich import (  # noqa: E402
 from leadloom.operators.profile import feature_roles, infer_types, label_counts, profile_columns  # noqa: E402
 from leadloom.operators.project import (  # noqa: E402
     affix, booleanize_label, cast_features, consolidate_missing, field_remap, project, request_map, score_output)
+from leadloom.operators.ranks import cached  # noqa: E402
 from leadloom.operators.split import balanced_sample, stratified_folds, stratified_split  # noqa: E402
 from leadloom.plans.binary_model import BinaryModelFactory  # noqa: E402
 from leadloom.plans.jobs import append_job, score_job  # noqa: E402
@@ -414,9 +415,10 @@ def q_cross_validated(spark, sf_dir):
     """mean area under the curve on the training and the test side of five folds."""
     o = _table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    folds = stratified_folds(o, "o_orderkey", "y", 5)
+    folds = cached(stratified_folds(o, "o_orderkey", "y", 5))
     fit = lambda d: _GroupRate(d.groupBy("o_orderpriority").agg(F.avg("y").alias("rate")))
     scores = cross_validated_score(folds, fit, 5, lambda d: auc_value(d, "y", "rate"), "fold")
+    folds.unpersist()
     return _round(spark.createDataFrame([(scores["train"], scores["test"])], "train double, test double"), "train", "test")
 
 

@@ -7,7 +7,7 @@ import sys
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, fields as dataclass_fields
+from dataclasses import dataclass, field, fields as dataclass_fields, replace
 from threading import Lock
 from typing import Any
 from urllib.parse import urlparse
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from leadloom.functions.columns import quoted
 from leadloom.functions.fixed import MAX_QUERIES_PER_SECOND, PROVIDER_DEFAULTS
 from leadloom.operators.project import all_present, request_map, require_columns
+from leadloom.session import materialize
 
 # Provider code travels to the Python workers with the task: nothing to install there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -314,7 +315,19 @@ def _provider_udf(spec: ProviderSpec, provider: Callable, tasks: int, out_type:
     return F.pandas_udf(run, out_type).asNondeterministic()
 
 
-def enrich_callable(df: DataFrame, spec: ProviderSpec, provider: Callable, fields_: Sequence[str] = (), *,
+def http_get(params: Mapping[str, str], url: str, headers: Mapping[str, str], timeout: float):
+    """The default transport: one GET per record, the JSON body of a successful answer."""
+    import json
+    from urllib.parse import urlencode
+    from urllib.request import Request, urlopen
+
+    glue = "&" if "?" in url else "?"
+    target = f"{url}{glue}{urlencode(params)}" if params else url
+    with urlopen(Request(target, headers=dict(headers)), timeout=timeout) as answer:
+        return json.loads(answer.read().decode("utf-8"))
+
+
+def enrich_callable(df: DataFrame, spec: ProviderSpec, provider: Callable, fields_: Sequence[str] | None = (), *,
                     tasks: int | None = None, success: str | None = None,
                     source_columns: Sequence[str] | None = None) -> DataFrame:
     """Append the fields of a provider function, one call per eligible record.
@@ -322,12 +335,15 @@ def enrich_callable(df: DataFrame, spec: ProviderSpec, provider: Callable, field
     ``provider(params, url=, headers=, timeout=)`` returns a JSON-like object or
     raises; transport is the caller's. Only the request fields travel to Python.
     Columns of the answer are declared in ``fields_`` (Spark needs the schema at
-    plan time); absent ones are null. With ``return_json`` the answer is one
+    plan time); absent ones are null. ``fields_=None`` finds them: the answers are
+    written once, and the union of their keys becomes the columns. With ``return_json`` the answer is one
     struct column ``<prefix>response<suffix>`` of (result, success).
 
     Delivery is at least once: a retried task calls again. Pass the result
     through :func:`leadloom.session.materialize` before using it twice.
     """
+    if fields_ is None and not spec.return_json:
+        return _enrich_discovered(df, spec, provider, tasks, success, source_columns)
     source = list(source_columns or df.columns)
     require_columns(df, spec.required_fields, ValueError)
     tasks = task_count(spec, tasks)
@@ -351,6 +367,28 @@ def enrich_callable(df: DataFrame, spec: ProviderSpec, provider: Callable, field
     return answered.select(*[quoted(c) for c in df.columns], *[c.alias(n) for c, n in zip(new, final)])
 
 
+def _enrich_discovered(df: DataFrame, spec: ProviderSpec, provider: Callable, tasks: int | None,
+                       success: str | None, source_columns: Sequence[str] | None) -> DataFrame:
+    held = replace(spec, return_json=True, post_append_prefix="_", post_append_suffix="_raw",
+                   response_handler=unwrapped(spec.handler))
+    raw = materialize(enrich_callable(df, held, provider, tasks=tasks, source_columns=source_columns), "answers")
+    answer = F.from_json(F.col("_response_raw.result"), "map<string,string>")
+    keys = raw.select(F.explode(F.map_keys(answer)).alias("k")).groupBy("k").count()      # one row per field name
+    names = sorted(r["k"] for r in keys.collect())
+    renamed = [spec.renamed(n) for n in names] + ([success] if success else [])
+    final = collision_names(df.columns, renamed)
+    values = [F.try_element_at(answer, F.lit(n)) for n in names] + ([F.col("_response_raw.success")] if success else [])
+    return raw.select(*[quoted(c) for c in df.columns], *[v.alias(n) for v, n in zip(values, final)])
+
+
+def unwrapped(handler: Callable) -> Callable:
+    """The handler as it works on unpacked answers, also when the JSON text is kept."""
+    def handle(response, url: str, **_):
+        return handler(response, url=url, raw_json=False)
+
+    return handle
+
+
 @dataclass
 class LookupProvider:
     """A lookup table as a provider: ``on`` maps request names to key columns."""
@@ -372,11 +410,11 @@ class LookupProvider:
 
 @dataclass
 class CallableProvider:
-    """A Python function as a provider, with the fields it returns."""
+    """A Python function as a provider; ``fields`` it returns, or None to find them."""
 
     spec: ProviderSpec
-    function: Callable
-    fields: Sequence[str] = ()
+    function: Callable = http_get
+    fields: Sequence[str] | None = None
     tasks: int | None = None
 
     def append(self, df: DataFrame, source: Sequence[str]) -> DataFrame:

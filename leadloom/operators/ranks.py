@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions.columns import quoted
+from leadloom.session import materialize
 
 HASH_PREFIX = 4            # 16**4 prefix groups: 1/65536 of a group is sorted per cutoff
 VALUES_PER_BUCKET = 500_000
@@ -153,9 +154,12 @@ def row_index(df: DataFrame, out: str = "row_index", order_by: str | None = None
 
     With ``order_by`` (a numeric, unique column) rows are numbered in its order.
     Without, they are numbered in scan order: the count of rows in the scan
-    partitions before plus the position inside, with no shuffle of the data.
+    partitions before plus the position inside, with no shuffle of the data. A
+    result of a shuffle has no stable partitions, so it is written out first.
     """
     if order_by is None:
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            df = materialize(df, "numbered")
         tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
         sizes = df.select(F.spark_partition_id().alias("_pid")).groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

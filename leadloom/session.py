@@ -13,7 +13,9 @@ def build_session(app: str = "leadloom", master: str | None = None, **conf) -> S
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Hot keys: split oversized join partitions even where that costs a shuffle later.
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Provider calls have side effects: never run a second copy of a task.

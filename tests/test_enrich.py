@@ -156,3 +156,55 @@ def test_empty_input(spark, people):
     spec = ProviderSpec("local://u", required_fields=["name"])
     out = enrich_callable(people.where("id < 0"), spec, local_provider, ["upper"])
     assert out.count() == 0 and out.columns[-1] == "upper"
+
+
+def test_answer_fields_are_found(spark, people):
+    spec = ProviderSpec("local://u", params={"cfg": "7"}, required_fields=["name"], optional_fields=["mail"], n_retry=0,
+                        queries_per_second=100, post_append_prefix="x_",
+                        response_handler=first_result("acme"))
+
+    def make():
+        def provider(params, url, headers, timeout):
+            extra = {"only_ann": {"n": 1}} if params["name"] == "ann" else {}
+            return {"Acme": {"results": [{"upper": params["name"].upper(), **extra}]}}
+        return provider
+
+    out = enrich_callable(people, spec, make(), None, tasks=2, success="ok")
+    assert out.columns == ["id", "name", "mail", "x_only_ann", "x_upper", "ok"]
+    assert rows(out, "id", "x_upper", "x_only_ann", "ok") == [
+        (1, "ANN", '{"n":1}', True), (2, "BOB", None, True), (3, None, None, False), (4, "ANN", '{"n":1}', True)]
+    none = enrich_callable(people.where("id < 0"), spec, make(), None)
+    assert none.columns == ["id", "name", "mail"]
+
+
+def test_append_files_from_configuration(spark, tmp_path):
+    (tmp_path / "in.tsv").write_text("id\tfirstname\tzip\n1\tann\tNA\n2\t\t9\n")
+    config = {"query_configs": [{"url": "local://a", "required_fields": ["firstname"], "optional_fields": ["zip"],
+                                 "field_remap": {"firstname": "first"}, "post_append_prefix": "A_",
+                                 "params": {"max": 1}, "queries_per_second": 50}],
+              "required_fields": ["id"], "missing_values": ["9"]}
+
+    def make():
+        return lambda params, url, headers, timeout: {"seen": ",".join(f"{k}={v}" for k, v in sorted(params.items()))}
+
+    from leadloom.plans.jobs import append_files
+    out = append_files(spark, str(tmp_path / "in.tsv"), config, transports={"local://a": make()})
+    assert rows(out) == [("1", "ann", None, "first=ann,max=1"), ("2", None, None, None)]
+    with pytest.raises(ValueError, match="speed"):
+        append_files(spark, "x", {"speed": 1})
+
+
+def test_default_transport_builds_a_get(monkeypatch):
+    import io
+    import urllib.request
+
+    from leadloom.operators.enrich import http_get
+    seen = {}
+
+    def fake(request, timeout):
+        seen.update(url=request.full_url, headers=dict(request.header_items()), timeout=timeout)
+        return io.BytesIO(b'{"a": 1}')
+
+    monkeypatch.setattr(urllib.request, "urlopen", fake)
+    assert http_get({"q": "x y"}, "http://h/p", {"Accept": "application/json"}, 5) == {"a": 1}
+    assert seen == {"url": "http://h/p?q=x+y", "headers": {"Accept": "application/json"}, "timeout": 5}

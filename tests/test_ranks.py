@@ -51,6 +51,8 @@ def test_row_index_is_dense_and_ordered(spark, values):
     for buckets in (RangeBuckets(), RangeBuckets.fit(values, "id", 100)):
         got = rows(row_index(values, "n", "id", buckets), "id", "n")
         assert got == [(i, i) for i in range(3000)]
+    shuffled = row_index(values.groupBy("x").count(), "n")
+    assert [r["n"] for r in shuffled.orderBy("n").collect()] == list(range(values.select("x").distinct().count()))
     scan = row_index(spark.range(0, 1000, 1, 7), "n")
     assert rows(scan, "id", "n") == [(i, i) for i in range(1000)]
 
