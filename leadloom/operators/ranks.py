@@ -6,7 +6,9 @@ tasks. The helpers here give the same answers in pieces of bounded size:
 * seeded draws never sort the table: a cutoff hash per group is found from
   prefix counts plus one narrow slice, and membership is a plain comparison;
 * running totals over ordered values collapse ties first, then run per range
-  bucket and add the totals of the buckets before.
+  bucket and add the totals of the buckets before;
+* exact quantiles count rows per range bucket and order only the buckets that a
+  wanted rank falls into.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from leadloom.session import materialize
 
 HASH_PREFIX = 4            # 16**4 prefix groups: 1/65536 of a group is sorted per cutoff
 VALUES_PER_BUCKET = 500_000
-MAX_BUCKETS = 4096
+VALUES_PER_SPLIT = 40      # values seen per bucket when placing splitters
+MAX_BUCKETS = 16_384
 
 
 # ---------------------------------------------------------------- seeded draws
@@ -85,17 +88,27 @@ class RangeBuckets:
         return len(self.splits) + 1
 
     @classmethod
-    def fit(cls, df: DataFrame, column: str, values_per_bucket: int | None = None) -> "RangeBuckets":
-        """Small jobs over one column: distinct estimate, then splitters if needed."""
+    def fit(cls, df: DataFrame, column: str, values_per_bucket: int | None = None, at_least: int = 1) -> "RangeBuckets":
+        """Small jobs over one column: distinct estimate, then splitters if needed.
+
+        Splitters come from the distinct values whose hash falls into a share
+        that leaves about ``VALUES_PER_SPLIT`` values per bucket: a bounded number
+        of values, and a hot value counts once. ``at_least`` asks for finer
+        buckets when there is more than one.
+        """
         size = values_per_bucket or VALUES_PER_BUCKET
         value = quoted(column).cast("double")
         seen = df.agg(F.approx_count_distinct(value).alias("u"), F.count(value).alias("n")).first()
-        n = min(MAX_BUCKETS, ceil(seen["u"] / size))
+        n = ceil(seen["u"] / size)
         if n <= 1:
             return cls(rows=seen["n"])
-        points = [i / n for i in range(1, n)]
-        found = df.agg(F.percentile_approx(value, points, max(1000, 20 * n)).alias("s")).first()["s"]
-        return cls(tuple(sorted(set(found or []))), seen["n"])
+        n = min(MAX_BUCKETS, max(n, at_least))
+        share = max(1, seen["u"] // (n * VALUES_PER_SPLIT))
+        chosen = df.select(value.alias("v")).where(
+            F.col("v").isNotNull() & ~F.isnan("v") & (F.pmod(F.xxhash64("v"), F.lit(share)) == 0)).distinct()
+        found = sorted(r["v"] for r in chosen.collect())
+        splits = {found[len(found) * i // n] for i in range(1, n)} if found else set()
+        return cls(tuple(sorted(splits)), seen["n"])
 
     def assign(self, df: DataFrame, column: str, out: str = "_bucket") -> DataFrame:
         if not self.splits:
@@ -192,36 +205,47 @@ def exact_quantiles(df: DataFrame, column: str, points: int, values_per_bucket:
     """
     clean = df.select(quoted(column).cast("double").alias("value")).where(
         F.col("value").isNotNull() & ~F.isnan("value"))
-    buckets = RangeBuckets.fit(clean, "value", values_per_bucket)
-    counts = clean.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_totals(counts, "value", ["c"], buckets)
+    buckets = RangeBuckets.fit(clean, "value", values_per_bucket, at_least=16 * points)
     n = buckets.rows
     if n == 0:
         return df.sparkSession.createDataFrame([], "k bigint, value double, n bigint")
-    steps = max(points - 1, 1)
     if n == 1 or points == 1:
         low = clean.agg(F.min("value").alias("value"))
         return low.select(F.explode(F.expr(f"sequence(0L, {points - 1}L)")).alias("k"), "value",
                           F.lit(n).cast("bigint").alias("n"))
-    span = n - 1
-    first, last = F.col("cum_c") - F.col("c"), F.col("cum_c") - 1      # 0-based ranks of a value
-
-    ranked = ranked.select("value", first.alias("a"), last.alias("b"))
-    # k whose lower neighbour has rank in [a, b], and k whose upper neighbour has.
+    steps, span = points - 1, n - 1
+    # Ranks count from 0. Of the rows with ranks a ... b: the k whose lower
+    # neighbour is among them, and the k whose upper neighbour is.
     low_from = F.expr(f"(a * {steps}L + {span - 1}L) div {span}L")
-    low_to = F.expr(f"((b + 1) * {steps}L + {span - 1}L) div {span}L - 1")
+    low_to = F.expr(f"least(((b + 1) * {steps}L + {span - 1}L) div {span}L - 1, {steps}L)")
     high_from = F.expr(f"case when a = 0 then 0L else ((a - 1) * {steps}L) div {span}L + 1 end")
-    high_to = F.expr(f"(b * {steps}L) div {span}L")
-
-    def ks(start: Column, stop: Column) -> Column:
-        stop = F.least(stop, F.lit(steps).cast("bigint"))
-        return F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))
-
-    picked = ranked.select(
-        "value", F.explode(F.concat(
-            F.transform(ks(low_from, low_to), lambda k: F.struct(k.alias("k"), F.lit(0).alias("side"))),
-            F.transform(ks(high_from, high_to), lambda k: F.struct(k.alias("k"), F.lit(1).alias("side"))),
-        )).alias("t"))
+    high_to = F.expr(f"least((b * {steps}L) div {span}L, {steps}L)")
+
+    def ks(start: Column, stop: Column, side: int) -> Column:
+        numbers = F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(numbers, lambda k: F.struct(k.alias("k"), F.lit(side).alias("side")))
+
+    if buckets.count == 1:
+        counts = clean.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+        ranked = running_totals(counts, "value", ["c"], buckets)
+        ranked = ranked.select("value", (F.col("cum_c") - F.col("c")).alias("a"), (F.col("cum_c") - 1).alias("b"))
+    else:
+        # Rows are only counted per bucket; then the buckets that hold a wanted
+        # rank are ordered, the others never move.
+        placed = buckets.assign(clean, "value")
+        sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        across = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+        wanted = sizes.select("_bucket", (F.sum("_n").over(across) - F.col("_n")).alias("a"),
+                              (F.sum("_n").over(across) - 1).alias("b"))
+        wanted = wanted.where((low_from <= low_to) | (high_from <= high_to)).select("_bucket", F.col("a").alias("_start"))
+        inside = placed.join(F.broadcast(wanted), "_bucket")      # at most MAX_BUCKETS rows
+        counts = inside.groupBy("_bucket", "_start", "value").agg(F.count(F.lit(1)).alias("c"))
+        upto = Window.partitionBy("_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("_upto", F.col("_start") + F.sum("c").over(upto)).select(
+            "value", (F.col("_upto") - F.col("c")).alias("a"), (F.col("_upto") - 1).alias("b"))
+
+    ranked = ranked.where((low_from <= low_to) | (high_from <= high_to))
+    picked = ranked.select("value", F.explode(F.concat(ks(low_from, low_to, 0), ks(high_from, high_to, 1))).alias("t"))
     sides = picked.groupBy("t.k").agg(
         F.max(F.when(F.col("t.side") == 0, F.col("value"))).alias("lo"),
         F.max(F.when(F.col("t.side") == 1, F.col("value"))).alias("hi"))
