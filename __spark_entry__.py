@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from leadloom.functions.columns import quoted  # noqa: E402
+from leadloom.functions.columns import order_hash, quoted  # noqa: E402
 from leadloom.functions.fixed import MISSING_TOKENS  # noqa: E402
 from leadloom.operators import curves, importance  # noqa: E402
 from leadloom.operators.balance import balance_fill_rates, fill_rates  # noqa: E402
@@ -24,14 +24,16 @@ from leadloom.operators.project import (  # noqa: E402
 from leadloom.operators.ranks import cached  # noqa: E402
 from leadloom.operators.split import balanced_sample, stratified_folds, stratified_split  # noqa: E402
 from leadloom.plans.binary_model import BinaryModelFactory  # noqa: E402
+from leadloom.plans.features import fit_feature_pipeline  # noqa: E402
 from leadloom.plans.jobs import append_job, score_job  # noqa: E402
 from leadloom.plans.quantile import QuantileScore  # noqa: E402
 from leadloom.plans.selector import FeatureSelector  # noqa: E402
 from leadloom.plans.trees import (  # noqa: E402
-    CalibratedTreesFactory, TreeParams, auc_value, cross_validated_score, out_of_fold)
+    FEATURES, ID, LABEL, CalibratedTreesFactory, TreeParams, auc_value, cross_validated_score, out_of_fold)
 from leadloom.session import scratch_path  # noqa: E402
 from leadloom.sources.delimited import chunks, concat_by_name, read_delimited  # noqa: E402
-from leadloom.sources.sinks import write_delimited  # noqa: E402
+from leadloom.sources.sinks import OutputName, write_delimited  # noqa: E402
+from leadloom.streaming.chunks import append_chunks, read_chunks  # noqa: E402
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -313,6 +315,20 @@ def q_append_multi(spark, sf_dir):
     return append_job(l, providers)
 
 
+def q_stream_append(spark, sf_dir):
+    """Files arrive in chunks, each is enriched and written to its numbered output."""
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    source, out = scratch_path(spark, "chunks-in"), scratch_path(spark, "chunks-out")
+    write_delimited(c.repartition(4), source)
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), "n_name")
+    provider = LookupProvider(ProviderSpec("lookup://nation", required_fields="c_nationkey"), nation,
+                              {"c_nationkey": "key"}, unique=True)
+    append_chunks(read_chunks(spark, source, c.columns, files_per_chunk=2), [provider],
+                  OutputName(f"{out}/part_{{0:04d}}"), scratch_path(spark, "chunks-state"))
+    back = read_delimited(spark, f"{out}/part_*", keep_blank=False)
+    return back.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "n_name")
+
+
 def q_append_collision(spark, sf_dir):
     """An appended field whose name is taken gets ``_append``."""
     s = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), "s_nationkey")
@@ -457,6 +473,22 @@ def q_train_score(spark, sf_dir):
     return score_job(docs, model, include=["doc_id", "quality"])
 
 
+def q_search(spark, sf_dir):
+    """Seeded random search over tree parameters, cross-validated; one row per trial."""
+    docs = cached(_labelled_documents(spark, sf_dir))
+    features = fit_feature_pipeline(docs, FeatureSelector(labelCol="quality", excludeFields=["doc_id", "source"]).fit(docs))
+    table = cached(features.transform(docs.withColumns({ID: order_hash("doc_id"), LABEL: F.col("quality").cast("double")}))
+                   .select(ID, LABEL, FEATURES))
+    space = {"stepSize": ("uniform", 0.01, 1.0), "maxDepth": ("log2", 1, 8), "maxLeaves": ("log2", 2, 8),
+             "minInstancesPerNode": ("log2", 2, 64), "maxIter": ("integer", 1, 3)}
+    factory = CalibratedTreesFactory(k=2, n_optimization_rounds=2, space=space)
+    factory.optimize(table)
+    table.unpersist()
+    docs.unpersist()
+    rows = [(i, float(t["params"].stepSize), t["params"].depth, t["train"], t["test"]) for i, t in enumerate(factory.trials)]
+    return spark.createDataFrame(rows, "trial int, step_size double, depth int, train double, test double")
+
+
 def _quantile_input(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = _scored(spark, sf_dir).select("o_orderkey", "y", "s")
     return rows.where("y = 0"), rows
@@ -577,10 +609,10 @@ def q_unpivot(spark, sf_dir):
 _QUERIES = [
     q_read_delimited, q_blank_lines, q_encoding_fallback, q_concat_by_name, q_consolidate_missing, q_chunk_resume,
     q_project_include_exclude, q_field_remap, q_prefix_suffix, q_required_nonnull, q_request_map, q_booleanize_label,
-    q_feature_cast, q_score_output, q_enrich_lookup, q_append_dedupe, q_append_multi, q_append_collision,
+    q_feature_cast, q_score_output, q_enrich_lookup, q_append_dedupe, q_append_multi, q_stream_append, q_append_collision,
     q_json_unpack, q_append_stats, q_fill_rates, q_balance_fill, q_infer_types, q_profile_columns, q_feature_roles,
     q_select_features, q_label_counts, q_stratified_split, q_kfold, q_balanced_sample, q_out_of_fold, q_cross_validated,
-    q_ordinal_encode, q_impute_indicator, q_train_score, q_quantile_fit, q_quantile_score, q_split_counts,
+    q_ordinal_encode, q_impute_indicator, q_train_score, q_search, q_quantile_fit, q_quantile_score, q_split_counts,
     q_split_summary, q_decile_lift, q_roc_curve, q_roc_auc, q_calibration, q_prob_hist, q_score_hist,
     q_score_hist_100, q_threshold_curve, q_threshold_weighted, q_threshold_metrics, q_perm_importance,
     q_relative_importance, q_average_importance, q_unpivot,
@@ -725,6 +757,8 @@ def oracle_sql() -> dict[str, str]:
                    p_size as part_p_size, s_name as s_name_of_supplier, o_orderstatus, o_totalprice
             from lineitem left join part on l_partkey = p_partkey left join supplier on l_suppkey = s_suppkey
             left join orders on l_orderkey = o_orderkey""",
+        "q_stream_append": """
+            select c_custkey, c_name, n_name from customer left join nation on c_nationkey = n_nationkey""",
         "q_append_collision": """
             select s_suppkey, s_name as name, s_nationkey, n_name as name_append, n_regionkey
             from supplier left join nation on s_nationkey = n_nationkey""",

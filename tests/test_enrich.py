@@ -208,3 +208,30 @@ def test_default_transport_builds_a_get(monkeypatch):
     monkeypatch.setattr(urllib.request, "urlopen", fake)
     assert http_get({"q": "x y"}, "http://h/p", {"Accept": "application/json"}, 5) == {"a": 1}
     assert seen == {"url": "http://h/p?q=x+y", "headers": {"Accept": "application/json"}, "timeout": 5}
+
+
+def test_hot_key_is_split_by_the_skew_join(spark):
+    """A third of the rows on one key, another third without a key, lookup too large to broadcast."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB", "spark.sql.shuffle.partitions": "16",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 300000, 1, 8).select(
+            "id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("key"))
+        lookup = spark.range(0, 300000, 1, 8).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+        out = enrich_lookup(df, lookup, {"key": "k"}, unique=True)
+        got = out.agg(F.count("*").alias("n"), F.sum(F.when(F.col("key") == 7, F.col("twice"))).alias("hot"),
+                      F.count("twice").alias("hits"))
+        n = got.first()
+        assert (n["n"], n["hot"], n["hits"]) == (300000, 100001 * 14, 200000)
+        out.cache().count()
+        final = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in final
+        out.unpersist()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
