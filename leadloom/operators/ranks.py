@@ -27,7 +27,8 @@ from leadloom.session import materialize
 
 HASH_PREFIX = 4            # 16**4 prefix groups: 1/65536 of a group is sorted per cutoff
 VALUES_PER_BUCKET = 500_000
-VALUES_PER_SPLIT = 40      # values seen per bucket when placing splitters
+VALUES_PER_SPLIT = 16      # values seen per bucket when placing splitters
+MAX_BROADCAST_ROWS = 1_000_000     # of two numbers each
 MAX_BUCKETS = 16_384
 
 
@@ -106,7 +107,7 @@ class RangeBuckets:
         share = max(1, seen["u"] // (n * VALUES_PER_SPLIT))
         chosen = df.select(value.alias("v")).where(
             F.col("v").isNotNull() & ~F.isnan("v") & (F.pmod(F.xxhash64("v"), F.lit(share)) == 0)).distinct()
-        found = sorted(r["v"] for r in chosen.collect())
+        found = sorted(chosen.toArrow()["v"].to_pylist())      # about MAX_BUCKETS * VALUES_PER_SPLIT at most
         splits = {found[len(found) * i // n] for i in range(1, n)} if found else set()
         return cls(tuple(sorted(splits)), seen["n"])
 
@@ -178,8 +179,10 @@ def row_index(df: DataFrame, out: str = "row_index", order_by: str | None = None
         before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
         inside = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+        if df.rdd.getNumPartitions() <= MAX_BROADCAST_ROWS:      # one row per scan partition
+            starts = F.broadcast(starts)
         return (
-            tagged.join(F.broadcast(starts), "_pid", "left")   # one row per scan partition
+            tagged.join(starts, "_pid", "left")
             .withColumn(out, F.col("_start") + inside).drop("_pid", "_mid", "_start")
         )
     buckets = buckets or RangeBuckets.fit(df, order_by)
