@@ -164,6 +164,8 @@ class ProviderSpec:
 def one_row_per_key(lookup: DataFrame, key: Sequence[str]) -> DataFrame:
     """The smallest record of each key; combined on the map side, so hot keys are fine."""
     rest = [c for c in lookup.columns if c not in key]
+    if not rest:
+        return lookup.select(*[quoted(k) for k in key]).distinct()
     picked = lookup.groupBy(*[quoted(k) for k in key]).agg(F.min(F.struct(*[quoted(c) for c in rest])).alias("_r"))
     return picked.select(*[quoted(k) for k in key], *[F.col("_r").getField(c).alias(c) for c in rest])
 

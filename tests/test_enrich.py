@@ -27,6 +27,7 @@ def test_lookup_keeps_every_row_once(spark, people, ages, threshold):
     try:
         got = enrich_lookup(people, ages, {"name": "who"}, prefix="p_")
         assert rows(got, "id", "p_age") == [(1, 20), (2, 40), (3, None), (4, 20)]
+        assert enrich_lookup(people, ages.select("who"), {"name": "who"}).count() == 4
         checked = enrich_lookup(people, ages, {"name": "who"}, required=["mail"])
         assert rows(checked, "id", "age") == [(1, 20), (2, None), (3, None), (4, 20)]
     finally:
