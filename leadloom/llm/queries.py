@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe_rounds, imatch, packing, pfor, separators, toxicity, zquality
+from leadloom.llm import (
+    bpe_rounds, graph_search, imatch, oracles, packing, parity_join, pfor, prefix_free, separators, toxicity, zquality)
 from leadloom.llm.common import table, texts
 
 
@@ -20,6 +21,10 @@ def op1_toxicity(spark, sf_dir):
     return _classified(toxicity.score(texts(docs), model), 1, 3)
 
 
+def op2_parity_join(spark, sf_dir):
+    return parity_join.similar_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_imatch(spark, sf_dir):
     return imatch.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -32,12 +37,20 @@ def op5_separator_scan(spark, sf_dir):
     return separators.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_graph_search(spark, sf_dir):
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), k=10, query_step=100)
+
+
 def op7_zstd_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = zquality.fit(docs, table(spark, sf_dir, "labels"), "quality", fold=2, folds=4)
     return _classified(zquality.score(texts(docs), model), 2, 4)
 
 
+def op8_prefix_free(spark, sf_dir):
+    return prefix_free.removal_digest(table(spark, sf_dir, "documents"), length=100)
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack_digest(table(spark, sf_dir, "documents"), end_id=0)
 
@@ -47,6 +60,7 @@ def op10_bpe_rounds(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_toxicity, op3_imatch, op4_pfor_files, op5_separator_scan, op7_zstd_quality, op9_packing, op10_bpe_rounds)}
+    op1_toxicity, op2_parity_join, op3_imatch, op4_pfor_files, op5_separator_scan, op6_graph_search, op7_zstd_quality,
+    op8_prefix_free, op9_packing, op10_bpe_rounds)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
