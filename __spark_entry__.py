@@ -35,6 +35,18 @@ from leadloom.sources.delimited import chunks, concat_by_name, read_delimited  #
 from leadloom.sources.sinks import OutputName, write_delimited  # noqa: E402
 from leadloom.streaming.chunks import append_chunks, read_chunks  # noqa: E402
 
+# The corpus operators are a package of their own; without it the other queries work as before.
+try:
+    import corpus_pipeline
+    from leadloom.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "leadloom.llm"):
+        raise
+    _LLM_QUERIES, _LLM_ORACLES = {}, {}
+else:
+    _LLM_QUERIES = {**corpus_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    _LLM_ORACLES = corpus_queries.ORACLES
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -620,7 +632,7 @@ _QUERIES = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    return {**{q.__name__: q for q in _QUERIES}, **_LLM_QUERIES}
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -709,6 +721,7 @@ def oracle_sql() -> dict[str, str]:
     tokens = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
     planted_segment = "nullif(c_mktsegment, 'MACHINERY')"
     return {
+        **_LLM_ORACLES,
         "q_read_delimited": """
             select c_custkey, c_name || chr(9) || '"x"' as "full name", c_acctbal,
                    nullif(c_mktsegment, 'MACHINERY') as segment from customer""",
