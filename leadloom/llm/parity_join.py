@@ -12,8 +12,8 @@ at most the symmetric difference, so a pair whose distance is larger is no link.
 left is verified on the texts.
 
 Links inside a word's bucket are found without listing its pairs: first every member is
-compared with the bucket's first and then with members drawn by chance, linked sets grow
-together into components, and then only pairs of members of different components are compared (by their sketches, within
+compared with the bucket's first, linked sets grow together into components, and then
+only pairs of members of different components are compared (by their sketches, within
 the join). So every link that could join two components is verified.
 
 Copies are one set: they take part once. Hot words arrive once per task and set.
@@ -41,7 +41,6 @@ from leadloom.llm.toxicity import LOWER
 WORDS, PERCENT = 5, 80     # shingle length and similarity, unless a caller says otherwise
 BAND_RATIO = 1.5
 SKETCH_WORDS = 16          # 64 parity bits each
-LEADS = 2                  # further members that a bucket's others are compared with before pairs are
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(9, 14)]] = False
 
@@ -171,7 +170,9 @@ def _possible(a: str, b: str, percent: int) -> Column:
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]),
                 F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (apart * percent <= F.least(n, m) * (100 - percent)) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+    apart = F.greatest(apart.cast("long"), F.abs(n - m))
+    # n + m = union + common, and union - common is at least this distance
+    return (n + m - apart) * 100 >= (n + m + apart) * percent
 
 
 def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -221,19 +222,13 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         keys = part.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
         return part.join(keys, "key", "left_semi")
 
-    # other members take the lead, one by chance in every bucket, so that what is linked at all grows together
     rest, rest_path = written(mixed(grown), "mixed-buckets")
-    for turn in range(LEADS):
-        leaders = rest.groupBy("key").agg(F.min_by(F.struct("name", "component"), F.xxhash64("name", "key", F.lit(turn))).alias("lead"))
-        others = (rest.select("key", "name", "component").join(leaders, "key").where("component <> lead.component")
-                  .select(F.least("name", "lead.name").alias("p"), F.greatest("name", "lead.name").alias("q")).distinct())
-        more, more_path = written(links.unionAll(verify(pairs_of(others), docs, words, percent)), "links")
-        again, again_path = written(components(more), "components")
-        left, left_path = written(mixed(again), "mixed-buckets")
-        discard(spark, rest_path, link_path, grown_path)
-        links, link_path, rest, rest_path, grown_path = more, more_path, left, left_path, again_path
+    # a pair meets in many buckets; it is told in the least one only. A set has one key per block, so the lists are short.
+    listed = rest.groupBy("name").agg(F.collect_set("key").alias("keys"))
+    rest = rest.join(listed, "name")
     across = (rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                                   & _possible("x", "y", percent))
+                                   & _possible("x", "y", percent)
+                                   & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))
               .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     more, more_path = written(verify(across, docs, words, percent), "links")
 
