@@ -20,6 +20,10 @@ def fit_ordinal(df: DataFrame, columns: Sequence[str], suffix: str = "_code") ->
     Meant for categorical columns of a feature profile (at most 255 values).
     """
     text = df.select(*[quoted(c).cast("string").alias(c) for c in columns])
+    # The indexer brings every value to the driver: a column with far more than is allowed must not get there.
+    seen = text.agg(*[F.approx_count_distinct(quoted(c)).alias(c) for c in columns]).first()
+    if any(seen[c] > 2 * MAX_CATEGORIES for c in columns):
+        raise ValueError(f"more than {MAX_CATEGORIES} categories: not a categorical feature")
     return StringIndexer(inputCols=list(columns), outputCols=[f"{c}{suffix}" for c in columns],
                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(text)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadloom.functions.columns import is_positive, quoted
+from leadloom.functions.columns import is_positive, looks_number, quoted
 
 
 def choose_fields(fields: Sequence[str], include: Iterable[str] = (), exclude: Iterable[str] = (),
@@ -112,15 +112,21 @@ def cast_features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
                   keep: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """Categorical columns as text, numeric ones as double.
 
-    ``strict`` raises on text that is not a number, otherwise it becomes null.
+    ``strict`` raises on text that is not a number, otherwise it becomes null. Text with a
+    type suffix (``1d``, ``2f``), which a cast alone would take, is not a number.
     """
+    kinds = dict(df.dtypes)
     texts, numbers, rest = set(categorical), set(numeric), set(keep)
 
     def typed(c: str) -> Column:
         if c in texts:
             return quoted(c).cast("string").alias(c)
         if c in numbers:
-            return (quoted(c).cast("double") if strict else quoted(c).try_cast("double")).alias(c)
+            value = quoted(c)
+            if kinds[c] == "string":
+                known = looks_number(F.trim(value)) | (F.lower(F.trim(value)) == "nan")
+                value = F.when(known, value).otherwise(F.concat(F.lit("not a number: "), value))
+            return (value.cast("double") if strict else value.try_cast("double")).alias(c)
         return quoted(c)
 
     return df.select(*[typed(c) for c in df.columns if c in texts | numbers | rest])

@@ -40,7 +40,11 @@ def run_chunks(stream: DataFrame, work: Callable[[DataFrame], DataFrame], output
         raise ValueError("a chunked stream needs a numbered output, e.g. out_{0:04d}")
     tokens = {*MISSING_TOKENS, *(missing_values or ())}
 
+    written: set[int] = set()
+
     def one(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            written.add(number)
         write_delimited(work(consolidate_missing(batch, tokens)), output.path(number), delimiter, "overwrite")
 
     query = (stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
@@ -48,7 +52,7 @@ def run_chunks(stream: DataFrame, work: Callable[[DataFrame], DataFrame], output
     if not query.awaitTermination(timeout) if timeout else query.awaitTermination():
         query.stop()
         raise TimeoutError("the stream did not finish in time")
-    return len([p for p in query.recentProgress if p["numInputRows"] > 0])
+    return len(written)
 
 
 def append_chunks(stream: DataFrame, providers: Sequence, output: OutputName, checkpoint: str, **options) -> int:

@@ -60,6 +60,10 @@ def test_casts(spark):
     assert rows(lenient, "n", "c") == [(1.5, "7"), (None, "8")]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         cast_features(df, ["n"], ["c"]).collect()
+    suffixed = spark.createDataFrame([("1d", 7), ("2f", 8), ("", 9), (" 3 ", 10), ("-1e3", 11), (None, 12)], "n string, c int")
+    assert [r["n"] for r in cast_features(suffixed, ["n"], [], strict=False).collect()] == [None, None, None, 3.0, -1000.0, None]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        cast_features(suffixed.limit(1), ["n"], []).collect()
 
 
 def test_score_column_steps_aside(spark):

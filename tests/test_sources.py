@@ -131,3 +131,9 @@ def test_documents_and_metrics(spark, tmp_path):
     assert read_json_document(spark, str(tmp_path / "doc")) == {"a": [1, 2]}
     write_metrics({"t": spark.range(3)}, folder.report, "json")
     assert spark.read.json(f"{folder.report}/t").count() == 3
+
+
+def test_no_path_prints_every_row(spark, capsys):
+    write_delimited(spark.range(50).selectExpr("id", "if(id = 3, null, 'a\tb') as t"), None)
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 51 and lines[0] == "id\tt" and lines[4] == "3\t" and lines[5] == '4\t"a\tb"'
