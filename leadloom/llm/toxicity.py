@@ -31,6 +31,7 @@ DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 SAMPLE_ROWS = 3_000        # of each label, at most; the only bound on what is learned from
 SAMPLE_WORDS = 5_000       # sampled rows have at most so many words
 EPOCHS, BATCH, RATE = 6, 32, 0.08
+LEAST_STEPS = 300          # few labelled rows are gone through more often
 CUT = 0.7
 #: Frequent function words.
 FUNCTION_WORDS = {
@@ -141,7 +142,7 @@ def fit_network(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Mo
     squares = {"words": np.full(BUCKETS + 1, 1e-2), "bias": np.full_like(model.bias, 1e-2), "out": np.full_like(model.out, 1e-2),
                "out_bias": 1e-2, **{w: np.full((w, DIM, FILTERS), 1e-2) for w in WIDTHS}}
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(docs)))):
         order = rng.permutation(len(docs))
         for k in range(0, len(order), BATCH):
             pick = order[k:k + BATCH]
@@ -202,13 +203,19 @@ def logistic_line(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[fl
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The probability whose cut has the largest F1 of weighted rows, half way to the next lower one."""
+    """The probability whose cut has the largest F1 of weighted rows, half way to the next lower one.
+
+    Only cuts above which label 1 is at least as frequent as label 0 count; if there is none, nothing lies above.
+    """
     order = np.argsort(-p, kind="stable")
     p, y, weight = p[order], y[order], weight[order]
     last = np.append(p[1:] != p[:-1], True)
     hits = np.cumsum(y * weight)
-    f1 = np.where(last, 2 * hits / (np.cumsum(weight) + hits[-1]), -1)
+    above = np.cumsum(weight)
+    f1 = np.where(last & (2 * hits >= above), 2 * hits / (above + hits[-1]), -1)
     k = int(f1.argmax())
+    if f1[k] < 0:
+        return float((1 + p[0]) / 2)
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2)
 
 

@@ -322,3 +322,11 @@ def test_classifier(spark, module, label, fold, folds):
         flat = module.fit(docs, some, label, fold, folds)
         assert len({r.p for r in module.score(docs, flat, "p").collect()}) == 1
     assert module.score(docs.limit(0), model, "p").count() == 0
+
+
+def test_thresholds_leave_the_rest_alone():
+    p, even = np.array([0.9, 0.8, 0.3, 0.2, 0.1]), np.ones(5)
+    assert 0.3 < toxicity.best_threshold(p, np.array([1.0, 1, 0, 0, 0]), even) < 0.8
+    # a ranking that says nothing marks nothing, instead of everything
+    assert toxicity.best_threshold(p, np.array([0.0, 0, 0, 0, 1]), even) > 0.9
+    assert toxicity.best_threshold(np.full(5, 0.5), np.array([0.0, 0, 1, 0, 0]), even) > 0.5
