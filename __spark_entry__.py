@@ -618,7 +618,39 @@ def q_unpivot(spark, sf_dir):
     return _round(importance.mean_by_feature(importance.wide_to_long(l, names)), "importance")
 
 
+def _copied_keys(spark, sf_dir):
+    """Orders by a key that 60 % of the rows share; ``v`` is filled for all of one class and a quarter of the other."""
+    y = (F.col("o_orderstatus") == "F").cast("int")
+    return _table(spark, sf_dir, "orders").select(
+        y.alias("y"), F.when(F.col("o_orderkey") % 5 < 3, 0).otherwise(F.col("o_custkey")).cast("bigint").alias("k"),
+        F.when((y == 1) | (F.col("o_orderkey") % 4 == 0), F.col("o_totalprice")).alias("v"))
+
+
+def q_split_copies(spark, sf_dir):
+    """exact hold-out sizes where many rows share a key."""
+    got = stratified_split(_copied_keys(spark, sf_dir), "k", "y")
+    return got.groupBy("y", "k", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_fold_copies(spark, sf_dir):
+    """even folds where many rows share a key."""
+    got = stratified_folds(_copied_keys(spark, sf_dir), "k", "y", 5)
+    return got.groupBy("y", "k", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_sample_copies(spark, sf_dir):
+    """a sample of exact size where many rows share a key."""
+    return balanced_sample(_copied_keys(spark, sf_dir), "k", "y", 500).groupBy("y", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_balance_copies(spark, sf_dir):
+    """As many values removed as the gap asks for where many rows share a key."""
+    got = balance_fill_rates(_copied_keys(spark, sf_dir), "k", "y", 1, ["v"])
+    return got.groupBy("y", "k").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("filled"))
+
+
 _QUERIES = [
+    q_split_copies, q_fold_copies, q_sample_copies, q_balance_copies,
     q_read_delimited, q_blank_lines, q_encoding_fallback, q_concat_by_name, q_consolidate_missing, q_chunk_resume,
     q_project_include_exclude, q_field_remap, q_prefix_suffix, q_required_nonnull, q_request_map, q_booleanize_label,
     q_feature_cast, q_score_output, q_enrich_lookup, q_append_dedupe, q_append_multi, q_stream_append, q_append_collision,
@@ -650,6 +682,21 @@ split as (
 """
 
 
+_COPIED = """
+copied as (
+  select y, k, case when y = 1 or o_orderkey % 4 = 0 then o_totalprice end as v from (
+    select cast(o_orderstatus = 'F' as int) as y, cast(case when o_orderkey % 5 < 3 then 0 else o_custkey end as bigint) as k,
+           o_orderkey, o_totalprice from orders))
+"""
+
+
+def _copy_groups(salt: str = "", counted: str = "*", where: str = "true") -> str:
+    """Groups of one key with the rows before them in draw order and the rows of their class."""
+    return f"""{_COPIED}, sized as (select y, k, count({counted}) as n from copied where {where} group by all),
+placed as (select *, cast(sum(n) over (partition by y order by {_draw('k', salt)} rows unbounded preceding) as bigint) - n as before,
+                  cast(sum(n) over (partition by y) as bigint) as total from sized)"""
+
+
 _FOLD_RATES = f"""
 folds as (select o_orderkey, o_orderpriority, y,
     cast(((row_number() over (partition by y order by {_draw('o_orderkey')}) - 1) * 5)
@@ -814,6 +861,28 @@ def oracle_sql() -> dict[str, str]:
         "q_kfold": f"""
             with {_SCORED} select o_orderkey, y, cast(((row_number() over (partition by y order by {_draw('o_orderkey')}) - 1)
             * 5) // count(*) over (partition by y) as int) as fold from scored""",
+        "q_split_copies": f"""
+            with {_copy_groups()}, cut as (
+              select *, greatest(0, least(n, cast(ceil(total * 0.2::double) as bigint) - before)) as test from placed)
+            select y, k, 'test' as split, test as n from cut where test > 0
+            union all select y, k, 'train' as split, n - test as n from cut where n > test""",
+        "q_fold_copies": f"""
+            with {_copy_groups()}, edges as (
+              select *, cast(f as int) as fold, (f * total + 4) // 5 as lo, ((f + 1) * total + 4) // 5 as hi
+              from placed, range(5) t(f))
+            select y, k, fold, least(before + n, hi) - greatest(before, lo) as n from edges
+            where least(before + n, hi) > greatest(before, lo)""",
+        "q_sample_copies": f"""
+            with {_copy_groups()}, sizes as (select least(500, min(total)) as m from placed)
+            select y, k, least(n, m - before) as n from placed, sizes where before < m""",
+        "q_balance_copies": f"""
+            with {_copy_groups('v:', 'v', 'v is not null')}, sums as (
+              select count(*) filter (where y = 1) as p, count(v) filter (where y = 1) as fp,
+                     count(*) filter (where y = 0) as q, count(v) filter (where y = 0) as fq from copied),
+            drop_of as (select cast(trunc((fp::double / p::double - fq::double / q::double) * p) as bigint) as m from sums)
+            select y, k, count(*) as n, count(v) - coalesce(max(case when c.y = 1 then greatest(0, least(g.n, m - g.before)) end), 0)
+                   as filled
+            from copied c left join placed g using (y, k), drop_of group by y, k""",
         "q_balanced_sample": f"""
             with {_SCORED}, sizes as (select least(500, sum(y), sum(1 - y)) as m from scored)
             select o_orderkey, y from (select *, row_number() over (partition by y order by {_draw('o_orderkey')}) as rn

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions.columns import is_positive, order_hash, quoted
 from leadloom.functions.fixed import DEFAULT_SEED
-from leadloom.operators.ranks import hash_cutoffs
+from leadloom.operators.ranks import copy_numbers, hash_cutoffs
 
 
 def fill_rates(df: DataFrame, label: str, positive, fields: Sequence[str]) -> DataFrame:
@@ -39,7 +39,8 @@ def balance_fill_rates(df: DataFrame, key, label: str | None, positive, fields:
     For a gap above ``tolerance``, ``int(gap * rows of the fuller class)`` values
     drawn by seeded hash go. A class without rows, or no tolerance, leaves the
     field alone. Fitting reads label, key and fields twice (counts, then one
-    narrow slice per field); the result is one projection without a shuffle.
+    narrow slice per field); the result is one projection without a shuffle, but
+    for rows that share a key with a field's last removed value.
     """
     if not label:
         raise ValueError("balancing needs a label column")
@@ -70,13 +71,22 @@ def balance_fill_rates(df: DataFrame, key, label: str | None, positive, fields:
         for f, (fuller, _) in removals.items()]))).where(F.col("_order").isNotNull())
     take = F.create_map(*[F.lit(v) for f, (_, count) in removals.items() for v in (f, count)])[F.col("field")]
     cuts = hash_cutoffs(candidates, ["field"], "_order", lambda n: [take])
-    cutoff = {r["field"]: r["cutoff"] for r in cuts.collect()}       # one row per field
+    drawn_from = {r["field"]: r for r in cuts.collect()}       # one row per field
+    marks, copy_of = {}, {}
+    for i, (f, r) in enumerate(drawn_from.items()):
+        if r["want"] < r["have"]:       # the cut falls among rows that share a key: these are numbered
+            copy_of[f] = f"_leadloom_copy{i}"
+            marks[copy_of[f]] = ((pos if removals[f][0] else ~pos) & quoted(f).isNotNull()
+                                 & (order_hash(key, seed, f) == F.lit(r["cutoff"])))
+    marked = copy_numbers(df, marks) if marks else df
 
     def balanced(f: str):
-        if f not in cutoff:
+        if f not in drawn_from:
             return quoted(f)
-        fuller = removals[f][0]
-        drawn = (pos if fuller else ~pos) & (order_hash(key, seed, f) <= F.lit(cutoff[f]))
-        return F.when(~drawn, quoted(f)).alias(f)
+        r, order = drawn_from[f], order_hash(key, seed, f)
+        inside = order <= F.lit(r["cutoff"])
+        if f in copy_of:
+            inside = (order < F.lit(r["cutoff"])) | ((order == F.lit(r["cutoff"])) & (F.col(copy_of[f]) < r["want"]))
+        return F.when(~((pos if removals[f][0] else ~pos) & inside), quoted(f)).alias(f)
 
-    return df.select(*[balanced(c) for c in df.columns])
+    return marked.select(*[balanced(c) for c in df.columns])

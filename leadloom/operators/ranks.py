@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 from pyspark import StorageLevel
@@ -39,11 +40,12 @@ def hash_cutoffs(rows: DataFrame, groups: Sequence[str], hash_col: str,
     """For each group the hash value that closes its first ``take`` rows.
 
     ``takes`` maps the row count of a group to the wanted sizes; the result has
-    one row per (group, cut) with ``take > 0``: ``groups..., cut, cutoff``.
-    A row belongs to the cut iff ``hash <= cutoff``. Two narrow passes over
-    ``groups`` and the hash only: prefix counts (combined on the map side), then
-    the rows of the prefixes that a cut falls into. Rows with the same hash are
-    counted before they are ordered, so copies of one key stay on one side.
+    one row per (group, cut) with ``take > 0``: ``groups..., cut, cutoff, want,
+    have``. A cut holds the rows with ``hash < cutoff`` and ``want`` of the
+    ``have`` rows with ``hash = cutoff``; if the two agree, ``hash <= cutoff``
+    says it all. Two narrow passes over ``groups`` and the hash only: prefix
+    counts (combined on the map side), then the rows of the prefixes that a cut
+    falls into. Rows with the same hash are counted before they are ordered.
     """
     groups = list(groups)
     prefix = F.substring(hash_col, 1, HASH_PREFIX)
@@ -68,10 +70,40 @@ def hash_cutoffs(rows: DataFrame, groups: Sequence[str], hash_col: str,
     return (
         slices.withColumn("_upto", F.sum("_n").over(within))
         .where(F.col("_upto") >= F.col("_want"))
-        .groupBy(*groups, "cut").agg(F.min("_h").alias("cutoff"))
+        .groupBy(*groups, "cut").agg(F.min(F.struct(
+            F.col("_h"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("want"), F.col("_n").alias("have"))).alias("_first"))
+        .select(*groups, "cut", F.col("_first._h").alias("cutoff"), "_first.want", "_first.have")
     )
 
 
+def copy_numbers(df: DataFrame, marks: dict[str, Column]) -> DataFrame:
+    """Adds, per mark, the number (from 0) of a row among the rows that fulfil its condition; 0 elsewhere.
+
+    The rows with a mark are written once, so that every reader sees them in one
+    order; they are counted per scan partition and numbered inside it, and the
+    counts of the partitions before are added. No other row moves.
+    """
+    found = {name: F.coalesce(mark, F.lit(False)) for name, mark in marks.items()}
+    any_mark = reduce(lambda a, b: a | b, found.values())
+    tied = materialize(df.where(any_mark), "ties")
+    sizes = tied.select(F.spark_partition_id().alias("_pid"), *[m.cast("bigint").alias(n) for n, m in found.items()]).groupBy(
+        "_pid").agg(*[F.sum(n).alias(n) for n in found])
+    before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_pid", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_start{i}") for i, n in enumerate(found)])
+    if tied.rdd.getNumPartitions() <= MAX_BROADCAST_ROWS:      # one row per scan partition
+        starts = F.broadcast(starts)
+    upto = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (
+        tied.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+        .select("*", *[F.sum(m.cast("bigint")).over(upto).alias(f"_upto{i}") for i, m in enumerate(found.values())])
+        .join(starts, "_pid")
+        .select(*[quoted(c) for c in df.columns],
+                *[F.when(m, F.col(f"_start{i}") + F.col(f"_upto{i}") - 1).otherwise(0).alias(n)
+                  for i, (n, m) in enumerate(found.items())])
+    )
+    return df.where(~any_mark).select("*", *[F.lit(0).cast("bigint").alias(n) for n in found]).unionByName(numbered)
+
+
 # ------------------------------------------------------------- range bucketing
 
 @dataclass(frozen=True)

@@ -99,3 +99,37 @@ def test_balanced_sample(table):
     assert counts == [50, 50]
     assert balanced_sample(table, "key", "label", 5000, positive="yes").count() == 600
     assert balanced_sample(table, "key", "label", 50, positive="absent").count() == 0
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """1000 rows, 600 of them with one key, without any other way to tell rows apart."""
+    i = F.col("id")
+    return spark.range(1000).select(
+        F.when(i % 5 < 3, 0).otherwise(i).alias("key"), F.when(i % 2 == 0, "yes").otherwise("no").alias("label"),
+        F.when(i % 2 == 0, 1).when(i % 4 == 1, 1).alias("v")).repartition(5).cache()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
+def test_draws_are_exact_when_keys_repeat(copies, seed):
+    split = stratified_split(copies, "key", "label", positive="yes", seed=seed)
+    assert {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()} == {
+        (c, s): n for c in ("yes", "no") for s, n in (("test", 100), ("train", 400))}
+    folds = stratified_folds(copies, "key", "label", 5, positive="yes", seed=seed)
+    assert {r["count"] for r in folds.groupBy("label", "fold").count().collect()} == {100}
+    assert balanced_sample(copies, "key", "label", 50, positive="yes", seed=seed).count() == 100
+    out = balance_fill_rates(copies, "key", "label", "yes", ["v"], seed=seed)
+    assert out.where("label = 'yes'").agg(F.count("v")).first()[0] == 250
+    assert out.count() == 1000 and out.columns == copies.columns
+
+
+def test_grouped_split_keeps_copies_together(copies):
+    split = stratified_split(copies, "key", "label", positive="yes", grouped=True)
+    assert split.groupBy("label", "key").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+
+
+def test_whole_row_key_with_copies(spark):
+    df = spark.createDataFrame([(1, "yes")] * 30 + [(1, "no")] * 50, "a int, label string")
+    split = stratified_split(df, df.columns, "label", positive="yes")
+    assert split.where("split = 'test'").groupBy("label").count().count() == 2
+    assert split.where("split = 'test'").count() == 16
