@@ -56,36 +56,45 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, squared distances) of the beam of every query, nearest first; -1 fills up."""
         b = len(queries)
+        squares = np.einsum("bd,bd->b", queries, queries)
         ids = np.full((b, beam), -1, np.int32)
         ids[:, :min(len(self.starts), beam)] = self.starts[:beam]
         dist = self.distances(queries, ids)
         order = np.argsort(dist, axis=1, kind="stable")
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
         seen = ids < 0
+        met = np.full(b * len(self.x), -1, np.int32)      # a node's distance to a query is computed once
+        row, col = np.nonzero(ids >= 0)
+        met[row * len(self.x) + ids[row, col]] = 0
         live = np.arange(b)
         while len(live):
             now, far, closed = ids[live], dist[live], seen[live]
             pick = np.argsort(closed, axis=1, kind="stable")[:, :WIDE]          # the nearest that are not expanded
             fresh = ~np.take_along_axis(closed, pick, 1)
-            nodes = np.where(fresh, np.take_along_axis(now, pick, 1), -1)
             np.put_along_axis(closed, pick, True, 1)
-            reach = np.where(nodes[:, :, None] < 0, -1, self.out[nodes]).reshape(len(live), -1)
-            new = self.distances(queries[live], reach)
-            both, apart = np.concatenate([now, reach], 1), np.concatenate([far, new], 1)
-            flags = np.concatenate([closed, reach < 0], 1)
-            # one place per id: sort by id, held ones first, and push repeats out
-            by_id = np.lexsort((np.concatenate([np.zeros_like(now), np.ones_like(reach)], 1), both), axis=1)
-            sorted_ids = np.take_along_axis(both, by_id, 1)
-            again = np.zeros_like(sorted_ids, bool)
-            again[:, 1:] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
-            repeat = np.zeros_like(again)
-            np.put_along_axis(repeat, by_id, again, 1)
-            apart[repeat] = np.inf
+            row, col = np.nonzero(fresh)
+            reach = self.out[now[row, pick[row, col]]]
+            row, reach = np.repeat(row, DEGREE), reach.ravel()
+            spot = live[row] * len(self.x) + reach
+            new = (reach >= 0) & (met[spot] < 0)
+            row, reach, spot = row[new], reach[new], spot[new]
+            nth = np.arange(len(spot), dtype=np.int32)
+            met[spot] = nth
+            new = met[spot] == nth      # of repeats in one step one stays
+            row, reach = row[new], reach[new]
+            count = np.bincount(row, minlength=len(live))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            more = np.full((len(live), int(count.max(initial=0))), -1, np.int32)
+            apart = np.full(more.shape, np.inf, dist.dtype)
+            mine = queries[live[row]]
+            more[row, place] = reach
+            apart[row, place] = np.maximum(squares[live[row]] + self.square[reach] - 2 * np.einsum("nd,nd->n", mine, self.x[reach]), 0)
+            both, apart = np.concatenate([now, more], 1), np.concatenate([far, apart], 1)
+            flags = np.concatenate([closed, more < 0], 1)
             keep = np.argsort(apart, axis=1, kind="stable")[:, :beam]
             dist[live] = np.take_along_axis(apart, keep, 1)
-            held = np.where(np.isinf(dist[live]), -1, np.take_along_axis(both, keep, 1))
-            ids[live] = held
-            seen[live] = np.take_along_axis(flags, keep, 1) | (held < 0)
+            ids[live] = np.take_along_axis(both, keep, 1)
+            seen[live] = np.take_along_axis(flags, keep, 1)
             live = live[~seen[live].all(axis=1)]
         return ids, dist
 
