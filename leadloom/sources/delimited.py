@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,22 +73,56 @@ def _ddl(names: Sequence[str]) -> str:
     return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
 
 
+CORRUPT = "_leadloom_corrupt"
+
+
 def _csv_options(delimiter: str, malformed: str) -> dict[str, str]:
-    return {"sep": delimiter, "quote": '"', "escape": '"', "mode": malformed, "nullValue": "", "emptyValue": ""}
+    mode = "PERMISSIVE" if malformed == "error" else malformed
+    return {"sep": delimiter, "quote": '"', "escape": '"', "mode": mode, "nullValue": "", "emptyValue": "",
+            "columnNameOfCorruptRecord": CORRUPT}
+
+
+def _checked(fields: list[Column], record: Column, width: int, delimiter: str) -> list[Column]:
+    """The fields; reading one raises an error if its record has more than ``width`` fields.
+
+    ``record`` is set for records of another width only, so the count is rarely made.
+    """
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    breaks = (F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit("")))) / F.lit(len(delimiter))
+    long = record.isNotNull() & (breaks >= width)
+    error = F.raise_error(F.concat(F.lit(f"a record has more than {width} fields: "), F.left(record, F.lit(200)))).cast("string")
+    return [F.when(long, error).otherwise(f) for f in fields]
+
+
+def latin_options(delimiter: str, malformed: str) -> dict[str, str]:
+    """Options that read every byte as one character; ``decoded`` makes text of them."""
+    sep = delimiter.encode("utf-8").decode("latin-1")
+    return {**_csv_options(sep, malformed), "encoding": "ISO-8859-1", "enforceSchema": "true"}
+
+
+def decoded(df: DataFrame, names: Sequence[str], safe: bool) -> DataFrame:
+    """Records that are not UTF-8 stay latin-1 with ``safe``, otherwise they are an error."""
+    raw = {n: F.encode(quoted(n), "ISO-8859-1").cast("string") for n in names}
+    if not safe:
+        return df.select(*[F.validate_utf8(raw[n]).alias(n) for n in names])
+    valid = F.is_valid_utf8(F.concat_ws("", *raw.values()))
+    return df.select(*[F.when(valid, raw[n]).otherwise(quoted(n)).alias(n) for n in names])
 
 
 def _scan_csv(spark, paths, names, delimiter, has_header, safe, multiline, malformed) -> DataFrame:
-    """The splittable CSV source: column pruning, embedded line breaks if asked; drops blank lines."""
-    reader = spark.read.schema(text_schema(names)).options(
-        **_csv_options(delimiter, malformed), header=str(has_header).lower(), multiLine=str(multiline).lower(),
-        enforceSchema="true", encoding="ISO-8859-1" if safe else "UTF-8")
+    """The splittable CSV source: embedded line breaks if asked; drops blank lines.
+
+    Columns are pruned unless over-long records are an error: that takes all fields.
+    """
+    strict = malformed == "error"
+    reader = spark.read.schema(text_schema([*names, CORRUPT] if strict else names)).options(
+        **latin_options(delimiter, malformed), header=str(has_header).lower(), multiLine=str(multiline).lower())
     df = reader.csv(paths)
-    if not safe:
-        return df
-    # Latin-1 keeps every byte; records whose bytes are valid UTF-8 are decoded again.
-    raw = {n: F.encode(quoted(n), "ISO-8859-1") for n in names}
-    valid = F.is_valid_utf8(F.concat_ws("", *[r.cast("string") for r in raw.values()]))
-    return df.select(*[F.when(valid, raw[n].cast("string")).otherwise(quoted(n)).alias(n) for n in names])
+    if strict:
+        sep = delimiter.encode("utf-8").decode("latin-1")
+        fields = _checked([quoted(n) for n in names], F.col(CORRUPT), len(names), sep)
+        df = df.select(*[f.alias(n) for f, n in zip(fields, names)])
+    return decoded(df, names, safe)
 
 
 def _scan_lines(spark, paths, names, delimiter, header_line: bytes | None, safe, malformed) -> DataFrame:
@@ -110,8 +144,12 @@ def _scan_lines(spark, paths, names, delimiter, header_line: bytes | None, safe,
     else:
         text = F.validate_utf8("value")
     options = _csv_options(delimiter, malformed)
-    return lines.select(F.from_csv(text, _ddl(names), options).alias("r")).select(
-        *[F.col("r").getField(n).alias(n) for n in names])
+    strict = malformed == "error"
+    parsed = lines.select(F.from_csv(text, _ddl([*names, CORRUPT] if strict else names), options).alias("r"))
+    fields = [F.col("r").getField(n) for n in names]
+    if strict:
+        fields = _checked(fields, F.col("r").getField(CORRUPT), len(names), delimiter)
+    return parsed.select(*[f.alias(n) for f, n in zip(fields, names)])
 
 
 def _scan(spark, paths, names, delimiter, header_line, safe, keep_blank, multiline, malformed) -> DataFrame:
@@ -124,7 +162,7 @@ def _scan(spark, paths, names, delimiter, header_line, safe, keep_blank, multili
 def read_delimited(spark: SparkSession, path: str | Sequence[str] | DataFrame, delimiter: str = "\t",
                    header: Sequence[str] | str | None = None, missing_values: Iterable[str] | None = None,
                    safe: bool = False, keep_blank: bool = True, multiline: bool = False,
-                   malformed: str = "PERMISSIVE") -> DataFrame:
+                   malformed: str = "error") -> DataFrame:
     """Read delimited text as an all-string DataFrame with missing tokens as null.
 
     ``header``: None takes the first line of each file, a list gives the names
@@ -136,6 +174,10 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str] | DataFrame, d
     ``keep_blank=False`` for the plain CSV source, which prunes columns and reads
     the files once, or ``multiline=True`` for line breaks inside quotes (blank
     lines are then dropped, and a file is not split). A DataFrame passes through.
+
+    Records with too few fields are filled up with nulls. Records with more fields than
+    columns are an error; with ``malformed="PERMISSIVE"`` their last fields are left out,
+    and Spark's other modes can be named as well.
     """
     if isinstance(path, DataFrame):
         return path

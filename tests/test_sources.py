@@ -137,3 +137,27 @@ def test_no_path_prints_every_row(spark, capsys):
     write_delimited(spark.range(50).selectExpr("id", "if(id = 3, null, 'a\tb') as t"), None)
     lines = capsys.readouterr().out.splitlines()
     assert len(lines) == 51 and lines[0] == "id\tt" and lines[4] == "3\t" and lines[5] == '4\t"a\tb"'
+
+
+@pytest.mark.parametrize("keep_blank", [True, False])
+def test_short_records_are_filled_and_long_ones_are_an_error(spark, tmp_path, keep_blank):
+    short = put(tmp_path, "short.tsv", 'a\tb\tc\n1\n2\t"x\ty"\n3\t"p""q\t\t"\tz\n')
+    assert rows(read_delimited(spark, short, keep_blank=keep_blank)) == [
+        ("1", None, None), ("2", "x\ty", None), ("3", 'p"q\t\t', "z")]
+    for name, line in [("one", "1\ta\tEXTRA"), ("two", "1\ta\t\tEXTRA"), ("empty", "1\ta\t")]:
+        path = put(tmp_path, f"{name}.tsv", f"a\tb\n0\tz\n{line}\n")
+        with pytest.raises(Exception, match="more than 2 fields"):
+            rows(read_delimited(spark, path, keep_blank=keep_blank))
+        assert rows(read_delimited(spark, path, keep_blank=keep_blank, malformed="PERMISSIVE")) == [("0", "z"), ("1", "a")]
+
+
+def test_invalid_bytes_are_an_error_for_the_plain_source(spark, tmp_path):
+    path = put(tmp_path, "bad.tsv", b"a\tb\n1\tJos\xe9\n")
+    with pytest.raises(Exception, match="(?i)utf"):
+        rows(read_delimited(spark, path, keep_blank=False))
+
+
+def test_chunks_into_folders_that_do_not_exist(spark, tmp_path):
+    df = spark.range(4).selectExpr("id", "id div 2 as chunk")
+    paths = write_chunks(df, "chunk", OutputName(str(tmp_path / "new_{0:02d}" / "part"), chunksize=2))
+    assert [spark.read.csv(p, header=True).count() for p in paths] == [2, 2]

@@ -81,3 +81,15 @@ def test_score_on_a_stream(spark, tmp_path):
     score_chunks(read_chunks(spark, str(folder), ["id", "name"]), Doubler(), OutputName(str(out / "s_{0:d}")),
                  str(tmp_path / "check"), keep={"include": ["id"]})
     assert rows(read_delimited(spark, str(out / "s_0"))) == [("0", "0"), ("1", "2"), ("2", "4")]
+
+
+def test_stream_reads_utf8_and_latin1_per_record(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.tsv").write_bytes("id\tname\n1\tJosé\n".encode() + "2\tJosé\n".encode("latin-1"))
+    name = OutputName(str(tmp_path / "safe_{0:d}"))
+    run_chunks(read_chunks(spark, str(folder), ["id", "name"], safe=True), lambda d: d, name, str(tmp_path / "c1"))
+    got = spark.read.csv(name.path(0), sep="\t", header=True).collect()
+    assert sorted(map(tuple, got)) == [("1", "José"), ("2", "José")]
+    with pytest.raises(Exception, match="(?i)utf"):
+        run_chunks(read_chunks(spark, str(folder), ["id", "name"]), lambda d: d, name, str(tmp_path / "c2"))
