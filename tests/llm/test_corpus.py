@@ -163,6 +163,24 @@ def test_fingerprints(spark, corpus):
     assert told[3_000_000_000] == hashlib.sha256(b"e f g ").hexdigest()      # the next one is the row without id and text
 
 
+def test_fingerprints_of_hot_texts(spark):
+    rng = random.Random(8)
+    fresh = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    hot = " ".join(f"hot{i}" for i in range(150))
+    every_third = lambda text: [text(i) if i % 3 == 0 else fresh(150) for i in range(300)]
+    for told in (lambda i: hot, lambda i: f"{hot} own{i}"):      # copies of one text, then a template
+        got = by_id(imatch.fingerprint_edits(make(spark, every_third(told))))
+        assert sum(got[i].near_edited > got[i].near_next for i in range(0, 300, 3)) >= 90      # the subsets are drawn
+        assert np.mean([got[i].near_edited for i in range(0, 300, 3)]) > 0.3
+    # copies count once: the lexicon is that of the distinct texts
+    texts = every_third(lambda i: hot)
+    assert imatch.fit_lexicon(make(spark, texts)) == imatch.fit_lexicon(make(spark, sorted(set(texts))))
+    # few rows, nothing in the lexicon: other words are not alike, the same words are, and no words only if the texts are equal
+    few = by_id(imatch.fingerprint_edits(make(spark, ["red green blue", "one two three", "two three one", " ", "", None, "\n"])))
+    assert [few[i].near_next for i in range(7)] == [0, 1, 0, 0, 1, 0, 0]
+    assert few[3].near_edited == 1 and few[0].fingerprint != few[1].fingerprint
+
+
 def jaccard_classes(rows, words, percent):
     lower = {c: c + 32 for c in range(65, 91)}
     sets = {}
