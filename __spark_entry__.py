@@ -23,13 +23,12 @@ from leadloom.operators.project import (  # noqa: E402
     affix, booleanize_label, cast_features, consolidate_missing, field_remap, project, request_map, score_output)
 from leadloom.operators.ranks import cached  # noqa: E402
 from leadloom.operators.split import balanced_sample, stratified_folds, stratified_split  # noqa: E402
-from leadloom.plans.binary_model import BinaryModelFactory  # noqa: E402
 from leadloom.plans.features import fit_feature_pipeline  # noqa: E402
-from leadloom.plans.jobs import append_job, score_job  # noqa: E402
+from leadloom.plans.jobs import append_job, score_job, train_job  # noqa: E402
 from leadloom.plans.quantile import QuantileScore  # noqa: E402
 from leadloom.plans.selector import FeatureSelector  # noqa: E402
 from leadloom.plans.trees import (  # noqa: E402
-    FEATURES, ID, LABEL, CalibratedTreesFactory, TreeParams, auc_value, cross_validated_score, out_of_fold)
+    FEATURES, ID, LABEL, CalibratedTreesFactory, auc_value, cross_validated_score, out_of_fold)
 from leadloom.session import scratch_path  # noqa: E402
 from leadloom.sources.delimited import chunks, concat_by_name, read_delimited  # noqa: E402
 from leadloom.sources.sinks import OutputName, write_delimited  # noqa: E402
@@ -462,27 +461,32 @@ def q_impute_indicator(spark, sf_dir):
     return _round(impute_indicator(s, ["price", "customer"]), "price", "customer")
 
 
-def _labelled_documents(spark, sf_dir) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+def _document_features(spark, sf_dir) -> DataFrame:
     text = F.col("text")
 
     def count_of(chars: str):
         return F.length(text) - F.length(F.translate(text, chars, ""))
 
-    return _table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    return _table(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "n_chars", (count_of(" ") + 1).alias("n_words"),
-        count_of("0123456789").alias("n_digits"), count_of("\n").alias("n_lines"), count_of(".!?").alias("n_stops"),
-        "quality")
+        count_of("0123456789").alias("n_digits"), count_of("\n").alias("n_lines"), count_of(".!?").alias("n_stops"))
+
+
+def _labelled_documents(spark, sf_dir) -> DataFrame:
+    return _document_features(spark, sf_dir).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
 
 
 def q_train_score(spark, sf_dir):
-    """Select, train calibrated trees, fit quantiles, score every labelled document."""
-    docs = _labelled_documents(spark, sf_dir)
-    trees = CalibratedTreesFactory(TreeParams(stepSize=0.3, maxIter=4, maxLeaves=8), threads=3)
-    factory = BinaryModelFactory(estimator_factory=trees, n_optimization_rounds=None, n_splits=3, oof="reuse",
-                                 cache_input=True, selector=FeatureSelector(excludeFields=["source"]))
-    model = factory.fit(docs, "quality", 1, key="doc_id")
-    return score_job(docs, model, include=["doc_id", "quality"])
+    """The training job with its defaults on the labelled documents, then a score of every document.
+
+    ``quality`` is null where a document has no label.
+    """
+    labelled = cached(_labelled_documents(spark, sf_dir))
+    factory, _ = train_job(labelled, "quality", 1, key="doc_id", insights=False)
+    labelled.unpersist()
+    scored = score_job(_document_features(spark, sf_dir), factory.model, include=["doc_id"])
+    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return scored.join(labels, "doc_id", "left").select("doc_id", "quality", "Score")
 
 
 def q_search(spark, sf_dir):
