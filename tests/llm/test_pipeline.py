@@ -41,6 +41,19 @@ def test_stages(spark):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    said = [" ".join(f"{name}{i}" for i in range(60)) for name in "abcde"]
+    near = said[0] + " more"
+    rows = [(None, said[0])] * 40 + [(None, near)] * 3 + [(7, said[1])] * 40 + [(7, said[2]), (3, said[3]), (2, said[3]), (None, said[3])]
+    rows += [(9, near), (8, said[0]), (None, said[4]), (None, said[4]), (None, None), (None, ""), (1, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars int").repartition(5)
+    out = corpus_pipeline.one_of_each(spark, docs, FOLDER)
+    assert out.dtypes == docs.dtypes
+    got = sorted(((r.doc_id or 0), r.text or "", r.n_chars) for r in out.collect())
+    want = [(8, said[0]), (7, said[1]), (7, said[2]), (2, said[3]), (0, said[4]), (1, "")]
+    assert got == sorted((i, t, len(t)) for i, t in want)
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER)
     assert rows.count() > 0 and set(rows.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
