@@ -106,10 +106,11 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-def run_on_chunks(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def run_on_chunks(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+                  limit: int = CHUNK_BYTES) -> DataFrame:
     """``step`` on every bounded slice of ``df``."""
     def work(batches):
-        for chunk in text_chunks(batches):
+        for chunk in text_chunks(batches, limit=limit):
             out = step(chunk)
             if out is not None and out.num_rows:
                 yield out

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm import (
-    bpe_rounds, graph_search, imatch, oracles, packing, parity_join, pfor, prefix_free, separators, toxicity, zquality)
+    bpe_rounds, graph_search, imatch, merkle, oracles, packing, parity_join, periodic, pfor, prefix_free, separators, toxicity,
+    url_filter, zquality)
 from leadloom.llm.common import table, texts
 
 
@@ -59,8 +60,23 @@ def op10_bpe_rounds(spark, sf_dir):
     return bpe_rounds.round_trip_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark, sf_dir):
+    model = url_filter.fit(url_filter.labelled_table(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op12_merkle_witness(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.run_digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), edit=periodic.plant_period))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_toxicity, op2_parity_join, op3_imatch, op4_pfor_files, op5_separator_scan, op6_graph_search, op7_zstd_quality,
-    op8_prefix_free, op9_packing, op10_bpe_rounds)}
+    op8_prefix_free, op9_packing, op10_bpe_rounds, op11_url_filter, op12_merkle_witness, op13_periodic_runs)}
 
 ORACLES: dict[str, str] = oracles.ORACLES
