@@ -113,8 +113,7 @@ def maximal_pairs(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: i
     def tell(a: int, b: int, common: int) -> None:
         if common + b - a >= least:
             spot = (a, common + b - a)
-            if found.get(spot, b) > b - a:
-                found[spot] = b - a
+            found[spot] = min(b - a, found.get(spot, b - a))
 
     def merged(big: list[int], small: list[int], common: int) -> list[int]:
         if len(big) < len(small):
