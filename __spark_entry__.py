@@ -490,19 +490,20 @@ def q_train_score(spark, sf_dir):
 
 
 def q_search(spark, sf_dir):
-    """Seeded random search over tree parameters, cross-validated; one row per trial."""
+    """Seeded random search with its default space, rounds and folds, cross-validated; one row per trial."""
     docs = cached(_labelled_documents(spark, sf_dir))
     features = fit_feature_pipeline(docs, FeatureSelector(labelCol="quality", excludeFields=["doc_id", "source"]).fit(docs))
     table = cached(features.transform(docs.withColumns({ID: order_hash("doc_id"), LABEL: F.col("quality").cast("double")}))
                    .select(ID, LABEL, FEATURES))
-    space = {"stepSize": ("uniform", 0.01, 1.0), "maxDepth": ("log2", 1, 8), "maxLeaves": ("log2", 2, 8),
-             "minInstancesPerNode": ("log2", 2, 64), "maxIter": ("integer", 1, 3)}
-    factory = CalibratedTreesFactory(k=2, n_optimization_rounds=2, space=space)
+    factory = CalibratedTreesFactory(scoring=["roc_auc", "average_precision", "neg_log_loss"])
     factory.optimize(table)
     table.unpersist()
     docs.unpersist()
-    rows = [(i, float(t["params"].stepSize), t["params"].depth, t["train"], t["test"]) for i, t in enumerate(factory.trials)]
-    return spark.createDataFrame(rows, "trial int, step_size double, depth int, train double, test double")
+    rows = [(i, float(t["params"].stepSize), t["params"].maxIter, t["params"].maxLeaves, t["params"].maxDepth,
+             t["params"].minInstancesPerNode, t["train"], t["test"], t["scores"]["average_precision"]["test"],
+             t["scores"]["neg_log_loss"]["test"]) for i, t in enumerate(factory.trials)]
+    return spark.createDataFrame(rows, "trial int, step_size double, rounds int, leaves int, depth int, least int, train double, "
+                                       "test double, average_precision double, neg_log_loss double")
 
 
 def _quantile_input(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
