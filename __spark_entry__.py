@@ -29,7 +29,7 @@ from leadloom.plans.quantile import QuantileScore  # noqa: E402
 from leadloom.plans.selector import FeatureSelector  # noqa: E402
 from leadloom.plans.trees import (  # noqa: E402
     FEATURES, ID, LABEL, CalibratedTreesFactory, auc_value, cross_validated_score, out_of_fold)
-from leadloom.session import scratch_path  # noqa: E402
+from leadloom.session import materialize, scratch_path  # noqa: E402
 from leadloom.sources.delimited import chunks, concat_by_name, read_delimited  # noqa: E402
 from leadloom.sources.sinks import OutputName, write_delimited  # noqa: E402
 from leadloom.streaming.chunks import append_chunks, read_chunks  # noqa: E402
@@ -222,6 +222,46 @@ def q_concat_by_name(spark, sf_dir):
     return concat_by_name(c, s)
 
 
+def q_headers_by_file(spark, sf_dir):
+    """A4: one folder with files of three unlike headers; fields are placed by name."""
+    folder = scratch_path(spark, "unlike-headers")
+    write_delimited(_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), folder, mode="append")
+    write_delimited(_table(spark, sf_dir, "supplier").select(
+        F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")), folder, mode="append")
+    write_delimited(_table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"),
+                                                         F.col("p_brand").alias("segment")), folder, mode="append")
+    back = read_delimited(spark, folder)
+    return back.select(F.col("id").cast("bigint").alias("id"), "name", "segment", F.col("balance").cast("double").alias("balance"))
+
+
+def q_quoted_breaks(spark, sf_dir):
+    """Line breaks inside quotes and blank lines in files that are read in several splits."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    quoted_text = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted_text, F.col("n_chars").cast("string"))
+    blank = F.pmod(F.col("doc_id"), F.lit(10)) == 3        # a blank line after the record
+    path = scratch_path(spark, "quoted-breaks")
+    docs.coalesce(1).select(F.when(blank, F.concat(line, F.lit("\n"))).otherwise(line).alias("value")).write.text(path)
+    names, bytes_before = ["id", "text", "n"], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(512 << 10))
+    try:
+        back = materialize(read_delimited(spark, path, ",", header=names, multiline=True), "records")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_before)
+    return back.select(F.col("id").cast("bigint").alias("id"), F.col("n").cast("bigint").alias("n"), F.md5("text").alias("digest"))
+
+
+def q_file_chunks(spark, sf_dir):
+    """Rows of a file numbered in file order, whatever its splits; chunks of 1,000 resumed at the third."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").coalesce(1).sortWithinPartitions("o_orderkey")
+    path = scratch_path(spark, "orders-file")
+    write_delimited(orders, path)
+    back = read_delimited(spark, path, row_number="n")
+    return chunks(back, 1000, 2, number="n").select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"), "n", "chunk")
+
+
 def q_consolidate_missing(spark, sf_dir):
     """A5: every missing token becomes null, in all string columns."""
     tokens = list(MISSING_TOKENS)
@@ -656,7 +696,8 @@ def q_balance_copies(spark, sf_dir):
 
 _QUERIES = [
     q_split_copies, q_fold_copies, q_sample_copies, q_balance_copies,
-    q_read_delimited, q_blank_lines, q_encoding_fallback, q_concat_by_name, q_consolidate_missing, q_chunk_resume,
+    q_read_delimited, q_blank_lines, q_encoding_fallback, q_concat_by_name, q_headers_by_file, q_quoted_breaks, q_file_chunks,
+    q_consolidate_missing, q_chunk_resume,
     q_project_include_exclude, q_field_remap, q_prefix_suffix, q_required_nonnull, q_request_map, q_booleanize_label,
     q_feature_cast, q_score_output, q_enrich_lookup, q_append_dedupe, q_append_multi, q_stream_append, q_append_collision,
     q_json_unpack, q_append_stats, q_fill_rates, q_balance_fill, q_infer_types, q_profile_columns, q_feature_roles,
@@ -784,6 +825,16 @@ def oracle_sql() -> dict[str, str]:
         "q_concat_by_name": """
             select c_custkey as id, c_name as name, c_mktsegment as segment from customer
             union all by name select s_acctbal as balance, s_name as name, s_suppkey as id from supplier""",
+        "q_headers_by_file": """
+            select c_custkey as id, c_name as name, c_mktsegment as segment from customer
+            union all by name select s_acctbal as balance, s_name as name, s_suppkey as id from supplier
+            union all by name select p_name as name, p_partkey as id, p_brand as segment from part""",
+        "q_quoted_breaks": """
+            select doc_id as id, n_chars as n, md5(text) as digest from documents
+            union all select null, null, null from documents where doc_id % 10 = 3""",
+        "q_file_chunks": """
+            select * from (select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as n,
+                                  (row_number() over (order by o_orderkey) - 1) // 1000 as chunk from orders) where chunk >= 2""",
         "q_consolidate_missing": f"""
             select c_custkey, case when segment not in ({tokens}) then segment end as segment, nullif(name, 'absent') as name
             from (select c_custkey, case when c_mktsegment = 'MACHINERY' then 'N/A' else c_mktsegment end as segment,

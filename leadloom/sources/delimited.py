@@ -15,6 +15,7 @@ from leadloom.functions.columns import quoted
 from leadloom.functions.fixed import MISSING_TOKENS
 from leadloom.operators.project import consolidate_missing
 from leadloom.operators.ranks import row_index
+from leadloom.sources.records import hadoop_text, scan_records
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -39,11 +40,46 @@ def expand_glob(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def first_line(spark: SparkSession, path: str) -> bytes:
-    """The first line of a file as raw bytes, without a byte-order mark."""
-    rows = spark.read.text(path).select(F.col("value").cast("binary")).head(1)
-    if not rows:
+    """The first line of a file as raw bytes, without a byte-order mark; only the file's beginning is read."""
+    line = _file_head(spark, hadoop_path(spark, path)[0])
+    if line is None:
         raise IOError(f"{path} is empty: it has no header line")
-    return bytes(rows[0][0]).removeprefix(b"\xef\xbb\xbf")
+    return line
+
+
+def _file_head(spark: SparkSession, hpath) -> bytes | None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stream = hpath.getFileSystem(conf).open(hpath)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hpath)
+        reader = jvm.org.apache.hadoop.util.LineReader(codec.createInputStream(stream) if codec is not None else stream)
+        line = jvm.org.apache.hadoop.io.Text()
+        if reader.readLine(line) == 0:
+            return None
+        return bytes(line.copyBytes()).removeprefix(b"\xef\xbb\xbf")
+    finally:
+        stream.close()
+
+
+def listed_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files (as URIs) behind paths, folders and patterns: path by path, by name in each. Metadata only."""
+    out: dict[str, None] = {}
+    for p in paths:
+        out.update(dict.fromkeys(sorted(spark.read.text(p).inputFiles())))
+    return list(out)
+
+
+def file_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, bytes]:
+    """The first line of every file that has one."""
+    jvm = spark.sparkContext._jvm
+
+    def head(uri: str) -> bytes | None:
+        return _file_head(spark, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)))
+
+    with ThreadPoolExecutor(min(16, max(1, len(files)))) as pool:
+        found = list(pool.map(head, files))
+    return {f: line for f, line in zip(files, found) if line is not None}
 
 
 def parse_header(line: bytes, delimiter: str = "\t", quotechar: str = '"') -> list[str]:
@@ -109,20 +145,27 @@ def decoded(df: DataFrame, names: Sequence[str], safe: bool) -> DataFrame:
     return df.select(*[F.when(valid, raw[n]).otherwise(quoted(n)).alias(n) for n in names])
 
 
+def csv_schema(names: Sequence[str], malformed: str) -> T.StructType:
+    return text_schema([*names, CORRUPT] if malformed == "error" else names)
+
+
+def checked_fields(df: DataFrame, names: Sequence[str], delimiter: str, malformed: str) -> DataFrame:
+    """The named columns of the CSV source's latin-1 rows; over-long records are an error unless another mode is named."""
+    if malformed != "error":
+        return df
+    sep = delimiter.encode("utf-8").decode("latin-1")
+    fields = _checked([quoted(n) for n in names], F.col(CORRUPT), len(names), sep)
+    return df.select(*[f.alias(n) for f, n in zip(fields, names)])
+
+
 def _scan_csv(spark, paths, names, delimiter, has_header, safe, multiline, malformed) -> DataFrame:
     """The splittable CSV source: embedded line breaks if asked; drops blank lines.
 
     Columns are pruned unless over-long records are an error: that takes all fields.
     """
-    strict = malformed == "error"
-    reader = spark.read.schema(text_schema([*names, CORRUPT] if strict else names)).options(
+    reader = spark.read.schema(csv_schema(names, malformed)).options(
         **latin_options(delimiter, malformed), header=str(has_header).lower(), multiLine=str(multiline).lower())
-    df = reader.csv(paths)
-    if strict:
-        sep = delimiter.encode("utf-8").decode("latin-1")
-        fields = _checked([quoted(n) for n in names], F.col(CORRUPT), len(names), sep)
-        df = df.select(*[f.alias(n) for f, n in zip(fields, names)])
-    return decoded(df, names, safe)
+    return decoded(checked_fields(reader.csv(paths), names, delimiter, malformed), names, safe)
 
 
 def _scan_lines(spark, paths, names, delimiter, header_line: bytes | None, safe, malformed) -> DataFrame:
@@ -162,18 +205,21 @@ def _scan(spark, paths, names, delimiter, header_line, safe, keep_blank, multili
 def read_delimited(spark: SparkSession, path: str | Sequence[str] | DataFrame, delimiter: str = "\t",
                    header: Sequence[str] | str | None = None, missing_values: Iterable[str] | None = None,
                    safe: bool = False, keep_blank: bool = True, multiline: bool = False,
-                   malformed: str = "error") -> DataFrame:
+                   malformed: str = "error", row_number: str | None = None) -> DataFrame:
     """Read delimited text as an all-string DataFrame with missing tokens as null.
 
     ``header``: None takes the first line of each file, a list gives the names
     (the data then has no header line), a text is the path of a header file.
-    A list of paths may have different headers; columns are matched by name. One
-    path or pattern stands for files with one common header. ``missing_values``
+    Files may have different headers, in one folder or pattern too; columns are
+    matched by name, empty files have no rows. ``missing_values``
     are added to the standard tokens. ``safe`` reads records that are not valid
     UTF-8 as latin-1, otherwise such a record is an error. Blank lines are kept as records of nulls; set
     ``keep_blank=False`` for the plain CSV source, which prunes columns and reads
-    the files once, or ``multiline=True`` for line breaks inside quotes (blank
-    lines are then dropped, and a file is not split). A DataFrame passes through.
+    the files once. ``multiline=True`` allows line breaks inside quotes; together with blank
+    lines such files are cut by :mod:`leadloom.sources.records`, in parallel; a quoted field that is still
+    open at the end of a file then is an error. ``row_number`` names a column that numbers the rows
+    from 0, in the order of the files and of the records in them, whatever the splits.
+    A DataFrame passes through.
 
     Records with too few fields are filled up with nulls. Records with more fields than
     columns are an error; with ``malformed="PERMISSIVE"`` their last fields are left out,
@@ -193,15 +239,28 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str] | DataFrame, d
         raise TypeError(f"path is a text or a list of texts, not {type(path)}")
 
     paths = [path] if isinstance(path, str) else list(path)
+    found: dict[str, bytes] = {}
+    if names is None:
+        found = file_headers(spark, listed_files(spark, paths))
+        if not found:
+            raise IOError(f"{path} is empty: it has no header line")
+    if row_number is not None or (multiline and keep_blank):
+        files = list(found) if names is None else listed_files(spark, paths)
+        headers = [parse_header(found[f], delimiter) if names is None else names for f in files]
+        for h in headers:
+            _check_names(h)
+        strict = malformed == "error"
+        df = scan_records(spark, files, headers, names is None, delimiter, _csv_options(delimiter, malformed), CORRUPT,
+                          strict, safe, keep_blank, row_number)
+        return consolidate_missing(df, {*MISSING_TOKENS, *(missing_values or ())})
     if names is not None:
         groups = [(None, tuple(names), paths)]
     else:
-        with ThreadPoolExecutor(min(16, len(paths))) as pool:
-            found = list(pool.map(lambda p: first_line(spark, p), paths))
         by_line: dict[bytes, list[str]] = {}
-        for line, p in zip(found, paths):
-            by_line.setdefault(line, []).append(p)
-        groups = [(line, tuple(parse_header(line, delimiter)), ps) for line, ps in by_line.items()]
+        for f, line in found.items():
+            by_line.setdefault(line, []).append(f)
+        groups = [(line, tuple(parse_header(line, delimiter)), paths if len(by_line) == 1 else [hadoop_text(spark, f) for f in fs])
+                  for line, fs in by_line.items()]
     parts = [_scan(spark, ps, cols, delimiter, line, safe, keep_blank, multiline, malformed)
              for line, cols, ps in groups]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -214,13 +273,18 @@ def concat_by_name(*frames: DataFrame) -> DataFrame:
 
 
 def chunks(df: DataFrame, chunksize: int, chunkstart: int = 0, order_by: str | None = None,
-           out: str = "chunk") -> DataFrame:
+           out: str = "chunk", number: str | None = None) -> DataFrame:
     """Adds the number of the chunk a row is in, and resumes at ``chunkstart``.
 
-    Rows are counted in the order of ``order_by``, or in scan order without it.
+    Rows are counted in the order of ``order_by``, or in scan order without it. ``number``
+    names a column that has the rows' numbers already, as ``read_delimited(row_number=...)``
+    gives it: the chunks then do not depend on splits, and no row is looked at twice.
     """
     if not chunksize or chunksize < 1:
         raise ValueError("chunksize must be at least 1")
-    numbered = row_index(df, "_row", order_by)
-    chunked = numbered.withColumn(out, F.expr(f"_row div {int(chunksize)}L")).drop("_row")
+    if number is not None:
+        whole = quoted(number).cast("bigint")
+        chunked = df.withColumn(out, ((whole - F.pmod(whole, F.lit(int(chunksize)))) / F.lit(int(chunksize))).cast("bigint"))
+    else:
+        chunked = row_index(df, "_row", order_by).withColumn(out, F.expr(f"_row div {int(chunksize)}L")).drop("_row")
     return chunked.where(F.col(out) >= chunkstart) if chunkstart else chunked

@@ -15,20 +15,21 @@ from leadloom.functions.fixed import MISSING_TOKENS
 from leadloom.operators.project import consolidate_missing
 from leadloom.plans.binary_model import BinaryModel
 from leadloom.plans.jobs import append_job, score_job
-from leadloom.sources.delimited import decoded, latin_options, text_schema
+from leadloom.sources.delimited import checked_fields, csv_schema, decoded, latin_options
 from leadloom.sources.sinks import OutputName, write_delimited
 
 
 def read_chunks(spark: SparkSession, folder: str, names: Sequence[str], delimiter: str = "\t",
-                has_header: bool = True, files_per_chunk: int = 1, safe: bool = False) -> DataFrame:
+                has_header: bool = True, files_per_chunk: int = 1, safe: bool = False, malformed: str = "error") -> DataFrame:
     """A stream of delimited files, ``files_per_chunk`` at a time, all fields text.
 
     Records that are not UTF-8 are an error, or latin-1 with ``safe``. Blank lines are dropped;
-    a record with too few fields is filled up with nulls, the fields beyond ``names`` are left out.
+    a record with too few fields is filled up with nulls. A record with more fields than ``names``
+    is an error, as in :func:`read_delimited`; with ``malformed="PERMISSIVE"`` they are left out.
     """
-    lines = (spark.readStream.schema(text_schema(names)).options(**latin_options(delimiter, "PERMISSIVE"))
+    lines = (spark.readStream.schema(csv_schema(names, malformed)).options(**latin_options(delimiter, malformed))
              .options(header=str(has_header).lower(), maxFilesPerTrigger=str(files_per_chunk)).csv(folder))
-    return decoded(lines, names, safe)
+    return decoded(checked_fields(lines, names, delimiter, malformed), names, safe)
 
 
 def run_chunks(stream: DataFrame, work: Callable[[DataFrame], DataFrame], output: OutputName, checkpoint: str,
