@@ -9,6 +9,7 @@ library whole. The ids are those of ``Tokenizer.encode`` in either case.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -18,7 +19,7 @@ import numpy as np
 from leadloom.llm.common import Spans, code_table, ranges
 
 TOP = 0x250                # characters below have had the same category in every Unicode version
-CACHE_WORDS = 2_000_000    # a worker's cache of words starts anew beyond this
+CACHE_WORDS = 500_000      # a worker's cache of words starts anew beyond this
 OTHER, LETTER, NUMBER, SPACE, ODD = 0, 1, 2, 3, 4
 
 
@@ -83,6 +84,7 @@ class FlatEncoder:
     """Texts to one flat id array, with a cache of words. One per worker and vocabulary."""
 
     def __init__(self, tokenizer_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()

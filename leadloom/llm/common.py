@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20      # text that one numpy step works on at a time; one longer text is a chunk of its own
+CHUNK_BYTES = 512 << 10    # text that one numpy step works on at a time; one longer text is a chunk of its own
 BATCH_ROWS = 2_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 _shipped: set[str] = set()

@@ -16,7 +16,7 @@ Equal fingerprints are alike by 1.
 
 Defined results: null text is empty text; only texts without words have the blank
 fingerprint, and two of them are alike by 1 if the texts are equal, else by 0. The next
-document is that of the next larger id, then text (null ids first); the last one's is the
+document is that of the next larger id, then of the next digest of the text (null ids first); the last one's is the
 first. A table of one document is its own successor.
 """
 
@@ -36,7 +36,8 @@ ENOUGH_TERMS, ENOUGH_SHARE = 8, 4      # so many terms, and one in so many of th
 SUBSETS = 8                # of each rate
 HEX = 8                    # digits of one hash
 LEAST = 3                  # hashes at a rate, for the rate to be compared alone
-ID_BLOCK = 1024            # consecutive ids whose rows are put in order together
+BLOCK_ROWS = 2_000         # rows that are put in order together
+MAX_BLOCKS, KEYS_PER_BLOCK = 8_192, 8
 BLANK = "-" * HEX
 NO_ID = -(1 << 63)
 PART = len(RATES) * SUBSETS * HEX      # digits of the lexicon's part
@@ -145,33 +146,54 @@ def _agreement(a: Column, b: Column, level: int, rates: tuple[int, ...]) -> Colu
     return F.coalesce(F.greatest(*alone), together)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``next_<column>`` of the document with the next larger id.
+def _search(cuts: list, key: Column) -> Column:
+    """How many of the sorted ``cuts`` lie at or before ``key``, by bisection."""
+    held = F.lit(cuts) if not isinstance(cuts[0], tuple) else F.array(*[F.struct(*[F.lit(x) for x in c]) for c in cuts])
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
 
-    Rows are ordered within blocks of consecutive ids. A block's last row finds its next
-    one among the firsts of the blocks, ordered in the same way one level up; a copy of
-    that row is carried over to the block.
+    def halve(s, _):
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        found = F.element_at(held, mid + 1) <= key
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & found, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(open_ & ~found, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return F.aggregate(steps, start, halve)["lo"]
+
+
+def with_next(docs: DataFrame, columns: list[str], rows_per_block: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``next_<column>`` of the document that follows by (id, digest of the text, row).
+
+    The order is cut into blocks at keys that a sample of the rows gives, so that equal and
+    missing ids are split as well; the texts are shuffled once, by block. The first row of a
+    block goes, as a copy, to the block before too, where it closes the row of documents.
+    ``docs`` must be a table's rows: the row number breaks ties between equal rows.
     """
-    order = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    block = lambda c, size: F.floor(c / size)
-    ids = docs.select(order.alias("_id"))
-    firsts = ids.groupBy(block(F.col("_id"), ID_BLOCK).alias("_block")).agg(F.min("_id").alias("_first"))
-    firsts = firsts.withColumn("_top", block(F.col("_block"), ID_BLOCK))
-    tops = firsts.groupBy("_top").agg(F.min("_first").alias("_top_first"))        # one row per million ids
-    whole = Window.orderBy("_top")
-    tops = tops.select("_top", F.coalesce(
-        F.lead("_top_first").over(whole),
-        F.min("_top_first").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after"))
-    within = Window.partitionBy("_top").orderBy("_block")
-    nexts = firsts.withColumn("_lead", F.lead("_first").over(within)).join(tops, "_top").select(
-        "_block", F.coalesce("_lead", "_after").alias("_id"))
-    rows = docs.withColumn("_id", order)
-    carried = rows.join(nexts, "_id").withColumn("_carried", F.lit(1))
-    own = rows.withColumn("_block", block(F.col("_id"), ID_BLOCK)).withColumn("_carried", F.lit(0))
-    line = Window.partitionBy("_block").orderBy("_carried", "_id", "text")
-    return (own.unionByName(carried)
-            .select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in columns])
-            .where(F.col("_carried") == 0).drop("_carried", "_id"))
+    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("i"), F.md5("text").alias("d"), F.col("_row").alias("r"))
+    keys = docs.withColumn("_row", F.monotonically_increasing_id()).select(key.alias("_key"))
+    total = docs.count()
+    blocks = min(MAX_BLOCKS, -(-total // rows_per_block))
+    cuts: list[tuple] = []
+    if blocks > 1:
+        share = max(1, total // (blocks * KEYS_PER_BLOCK))
+        seen = keys.where(F.pmod(F.xxhash64("_key"), F.lit(share)) == 0).select("_key.*")      # MAX_BLOCKS * KEYS_PER_BLOCK rows or so
+        found = sorted(zip(*seen.toArrow().to_pydict().values()))
+        cuts = sorted({found[len(found) * k // blocks] for k in range(1, blocks)}) if found else []
+    block = _search(cuts, F.col("_key")) if cuts else F.lit(0)
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_key", key).withColumn("_block", block)
+    firsts = rows.groupBy("_block").agg(F.min("_key").alias("_first"))             # one row per block
+    order = Window.orderBy("_block")
+    last = F.max("_block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = firsts.select("_block", "_first", F.coalesce(F.lag("_block").over(order), last).alias("_before"))
+    spots = F.array(F.struct(F.col("_block").alias("at"), F.lit(False).alias("carried")),
+                    F.struct(F.col("_before").alias("at"), F.lit(True).alias("carried")))
+    told = rows.join(F.broadcast(before), "_block").withColumn("_spots", F.when(
+        F.col("_key") == F.col("_first"), spots).otherwise(F.slice(spots, 1, 1)))
+    line = Window.partitionBy("_at").orderBy("_carried", "_key")
+    return (told.select(*docs.columns, "_key", F.inline("_spots").alias("_at", "_carried"))
+            .select(*docs.columns, "_carried", *[F.lead(c).over(line).alias(f"next_{c}") for c in columns])
+            .where(~F.col("_carried")).drop("_carried"))
 
 
 def fingerprint_edits(docs: DataFrame, lexicon: bytes | None = None) -> DataFrame:

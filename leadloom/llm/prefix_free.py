@@ -35,7 +35,7 @@ from leadloom.llm.graph import written
 
 LENGTH = 100
 TRIGGER = 40               # bytes of a trigger; long ones seldom repeat by chance, short ones make fewer phrases
-PIECE = 4 << 20            # longer texts are parsed in overlapping pieces
+PIECE = 1 << 20            # longer texts are parsed in overlapping pieces
 LOCAL_PHRASES = 400_000    # phrases among which a task looks for firsts before it passes them on
 DICTIONARY_BYTES = 1 << 20
 NO_ID = -(1 << 63)

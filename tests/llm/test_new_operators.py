@@ -261,3 +261,25 @@ def test_urls_of_the_pages(spark, tmp_path):
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: (r.rule, r.verdict) for r in queries.op11_url_filter(spark, str(tmp_path)).collect()}
     assert got == {1: (None, BLOCK), 2: (None, ALLOW), 3: ("org/", ALLOW)}
+
+
+# ------------------------------------------------------------------ order of documents for fingerprints of edits
+
+def test_next_document_over_many_blocks(spark):
+    """Missing, equal, hashed and far ids, and equal rows: every row has the one that follows it."""
+    from leadloom.llm import imatch
+    from leadloom.llm.common import texts
+
+    rng = random.Random(6)
+    ids = [None] * 150 + [7] * 120 + [rng.randrange(-(1 << 62), 1 << 62) for _ in range(150)] + list(range(40))
+    told = [f"t{i}" for i in range(len(ids))]
+    told[20:60], told[160:200] = ["same"] * 40, ["copy"] * 40
+    for size in (7, 64, 10_000):
+        docs = make(spark, told, ids)
+        got = imatch.with_next(texts(docs), ["doc_id", "text"], rows_per_block=size).collect()
+        order = sorted(zip(ids, told), key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashlib.md5(r[1].encode()).hexdigest()))
+        want = [(*a, *b) for a, b in zip(order, order[1:] + order[:1])]
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got), size
+    one = imatch.with_next(texts(make(spark, ["alone"])), ["text"]).collect()
+    assert [(r.text, r.next_text) for r in one] == [("alone", "alone")]
+    assert imatch.with_next(texts(docs.limit(0)), ["text"]).count() == 0
