@@ -14,6 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from leadloom.functions.columns import order_hash, quoted  # noqa: E402
 from leadloom.functions.fixed import MISSING_TOKENS  # noqa: E402
 from leadloom.operators import curves, importance  # noqa: E402
+from leadloom.operators.answers import enrich_logged  # noqa: E402
 from leadloom.operators.balance import balance_fill_rates, fill_rates  # noqa: E402
 from leadloom.operators.encode import impute_indicator, ordinal_encode  # noqa: E402
 from leadloom.operators.enrich import (  # noqa: E402
@@ -380,6 +381,28 @@ def q_stream_append(spark, sf_dir):
     return back.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "n_name")
 
 
+def _nation_facts() -> Callable:
+    """A provider that needs no network: facts about a nation key; some keys are not known to it."""
+    def facts(params, url, **_):
+        key = int(params["nation"])
+        if key % 5 == 4:
+            raise KeyError(key)
+        return {"double": 2 * key, "code": f"N{key:02d}"}
+
+    return facts      # a closure travels to the workers by value
+
+
+def q_provider_calls(spark, sf_dir):
+    """A provider function asked once per distinct request, on a schedule, with an answer log that a second run goes on from."""
+    c = _table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_nationkey")).alias("c_nationkey"))
+    spec = ProviderSpec("local://nations", required_fields="c_nationkey", field_remap={"c_nationkey": "nation"},
+                        queries_per_second=100, n_retry=1, retry_wait_time=0.01, post_append_prefix="nation_")
+    log = scratch_path(spark, "provider-log")
+    enrich_logged(c.where("c_custkey % 2 = 0"), spec, _nation_facts(), ["double", "code"], log=log)      # an earlier run over half of the rows
+    return enrich_logged(c, spec, _nation_facts(), ["double", "code"], log=log, success="answered")
+
+
 def q_append_collision(spark, sf_dir):
     """An appended field whose name is taken gets ``_append``."""
     s = _table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), "s_nationkey")
@@ -699,7 +722,7 @@ _QUERIES = [
     q_read_delimited, q_blank_lines, q_encoding_fallback, q_concat_by_name, q_headers_by_file, q_quoted_breaks, q_file_chunks,
     q_consolidate_missing, q_chunk_resume,
     q_project_include_exclude, q_field_remap, q_prefix_suffix, q_required_nonnull, q_request_map, q_booleanize_label,
-    q_feature_cast, q_score_output, q_enrich_lookup, q_append_dedupe, q_append_multi, q_stream_append, q_append_collision,
+    q_feature_cast, q_score_output, q_enrich_lookup, q_append_dedupe, q_append_multi, q_stream_append, q_provider_calls, q_append_collision,
     q_json_unpack, q_append_stats, q_fill_rates, q_balance_fill, q_infer_types, q_profile_columns, q_feature_roles,
     q_select_features, q_label_counts, q_stratified_split, q_kfold, q_balanced_sample, q_out_of_fold, q_cross_validated,
     q_ordinal_encode, q_impute_indicator, q_train_score, q_search, q_quantile_fit, q_quantile_score, q_split_counts,
@@ -875,6 +898,10 @@ def oracle_sql() -> dict[str, str]:
             left join orders on l_orderkey = o_orderkey""",
         "q_stream_append": """
             select c_custkey, c_name, n_name from customer left join nation on c_nationkey = n_nationkey""",
+        "q_provider_calls": """
+            select c_custkey, k as c_nationkey, case when k % 5 <> 4 then (2 * k)::varchar end as nation_double,
+                   case when k % 5 <> 4 then 'N' || lpad(k::varchar, 2, '0') end as nation_code, coalesce(k % 5 <> 4, false) as answered
+            from (select c_custkey, case when c_mktsegment <> 'MACHINERY' then c_nationkey end as k from customer)""",
         "q_append_collision": """
             select s_suppkey, s_name as name, s_nationkey, n_name as name_append, n_regionkey
             from supplier left join nation on s_nationkey = n_nationkey""",

@@ -278,8 +278,9 @@ def call_with_retry(call: Callable[[], Any], n_retry: int, wait: float, acquire:
 
 
 def task_count(spec: ProviderSpec, wanted: int | None) -> int:
-    """Tasks for a provider stage: no more than connections or whole queries per second allow."""
-    return max(1, min(wanted or 8, spec.n_connections, max(1, int(spec.queries_per_second))))
+    """Tasks for a provider stage: as many as wanted, but no more than connections or whole queries per second allow."""
+    most = min(spec.n_connections, max(1, int(spec.queries_per_second)))
+    return max(1, min(wanted or most, most))
 
 
 def _provider_udf(spec: ProviderSpec, provider: Callable, tasks: int, out_type: T.StructType):
@@ -412,15 +413,25 @@ class LookupProvider:
 
 @dataclass
 class CallableProvider:
-    """A Python function as a provider; ``fields`` it returns, or None to find them."""
+    """A Python function as a provider; ``fields`` it returns, or None to find them.
+
+    Batches are asked on a schedule, each distinct request once, with a log of the answers
+    (:mod:`leadloom.operators.answers`) in the folder ``log``, or in scratch space. A streaming
+    DataFrame is asked record by record inside its own plan.
+    """
 
     spec: ProviderSpec
     function: Callable = http_get
     fields: Sequence[str] | None = None
     tasks: int | None = None
+    log: str | None = None
 
     def append(self, df: DataFrame, source: Sequence[str]) -> DataFrame:
-        return enrich_callable(df, self.spec, self.function, self.fields, tasks=self.tasks, source_columns=source)
+        if df.isStreaming:
+            return enrich_callable(df, self.spec, self.function, self.fields, tasks=self.tasks, source_columns=source)
+        from leadloom.operators.answers import enrich_logged      # it builds on this module
+
+        return enrich_logged(df, self.spec, self.function, self.fields, log=self.log, tasks=self.tasks, source_columns=source)
 
 
 def append_all(df: DataFrame, providers: Sequence[LookupProvider | CallableProvider]) -> DataFrame:
