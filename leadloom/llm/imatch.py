@@ -146,9 +146,9 @@ def _agreement(a: Column, b: Column, level: int, rates: tuple[int, ...]) -> Colu
     return F.coalesce(F.greatest(*alone), together)
 
 
-def _search(cuts: list, key: Column) -> Column:
+def _search(cuts: list[tuple], key: Column) -> Column:
     """How many of the sorted ``cuts`` lie at or before ``key``, by bisection."""
-    held = F.lit(cuts) if not isinstance(cuts[0], tuple) else F.array(*[F.struct(*[F.lit(x) for x in c]) for c in cuts])
+    held = F.array(*[F.struct(F.lit(i).cast("long"), F.lit(d), F.lit(r).cast("long")) for i, d, r in cuts])
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
 
     def halve(s, _):

@@ -280,6 +280,8 @@ def test_next_document_over_many_blocks(spark):
         order = sorted(zip(ids, told), key=lambda r: (-(1 << 63) if r[0] is None else r[0], hashlib.md5(r[1].encode()).hexdigest()))
         want = [(*a, *b) for a, b in zip(order, order[1:] + order[:1])]
         assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got), size
+    small = imatch.with_next(texts(make(spark, ["t"] * 50)), ["doc_id"], rows_per_block=9).collect()      # small numbers only
+    assert sorted((r.doc_id, r.next_doc_id) for r in small) == [(i, (i + 1) % 50) for i in range(50)]
     one = imatch.with_next(texts(make(spark, ["alone"])), ["text"]).collect()
     assert [(r.text, r.next_text) for r in one] == [("alone", "alone")]
     assert imatch.with_next(texts(docs.limit(0)), ["text"]).count() == 0
