@@ -570,8 +570,9 @@ def q_search(spark, sf_dir):
 
 
 def _quantile_input(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The train side of the stratified split, and all rows."""
     rows = _scored(spark, sf_dir).select("o_orderkey", "y", "s")
-    return rows.where("y = 0"), rows
+    return stratified_split(rows, "o_orderkey", "y").where("split = 'train'"), rows
 
 
 def q_quantile_fit(spark, sf_dir):
@@ -583,7 +584,7 @@ def q_quantile_fit(spark, sf_dir):
 def q_quantile_score(spark, sf_dir):
     """H2: training rank of a value as a score from 0 to 100."""
     train, rows = _quantile_input(spark, sf_dir)
-    model = QuantileScore(inputCol="s", nQuantiles=200).fit(train)
+    model = QuantileScore(inputCol="s").fit(train)
     return model.transform(rows).select("o_orderkey", F.col("score").cast("bigint").alias("score"))
 
 
@@ -991,11 +992,11 @@ def oracle_sql() -> dict[str, str]:
             select o_orderkey, round(coalesce(price, mp), 6) as price, round(coalesce(customer::double, mc), 6) as customer,
                    (price is null)::int as price_missing, (customer is null)::int as customer_missing from sparse, m""",
         "q_quantile_fit": f"""
-            with {_SCORED}, train as (select s from scored where y = 0), {_quantiles_sql('train', 's', '1000')}
+            with {_SCORED}, {_SPLIT}, train as (select s from scored join split using (o_orderkey) where split = 'train'), {_quantiles_sql('train', 's', '1000')}
             select k, round(value, 6) as value, n from quantiles""",
         "q_quantile_score": f"""
-            with {_SCORED}, train as (select s from scored where y = 0), {_quantiles_sql('train', 's', '200')},
-            knots as (select value as v, min(k) / 199::double as first, max(k) / 199::double as last from quantiles group by value),
+            with {_SCORED}, {_SPLIT}, train as (select s from scored join split using (o_orderkey) where split = 'train'), {_quantiles_sql('train', 's', '1000')},
+            knots as (select value as v, min(k) / 999::double as first, max(k) / 999::double as last from quantiles group by value),
             linked as (select *, lead(v) over (order by v) as next_v, lead(first) over (order by v) as next_first from knots),
             ends as (select min(v) as lo, max(v) as hi from knots)
             select o_orderkey, cast(round_even(100.0::double * case
