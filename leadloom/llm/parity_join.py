@@ -122,6 +122,8 @@ def _signed(x) -> np.ndarray:
 
 
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+FOLDED = [f"f{i}" for i in range(SKETCH_WORDS // 2)]
+LOOK_BACK = 6              # keys before, by which a pair is known to have met already
 
 
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
@@ -165,11 +167,16 @@ def word_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return texts(docs).where(F.col("doc_id").isNotNull()).mapInArrow(work, "key long, node long")
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
+def folded() -> list[Column]:
+    """The sketch in half as many words: the parity of two of its bits at a time, which is a sketch as well."""
+    return [F.col(SKETCH[i]).bitwiseXOR(F.col(SKETCH[i + SKETCH_WORDS // 2])) for i in range(SKETCH_WORDS // 2)]
+
+
+def _possible(a: str, b: str, percent: int, sketch: list[str] = SKETCH) -> Column:
     """Whether sizes and sketches leave the pair a chance."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH[1:]),
-                F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch[1:]),
+                F.bit_count(F.col(f"{a}.{sketch[0]}").bitwiseXOR(F.col(f"{b}.{sketch[0]}"))))
     apart = F.greatest(apart.cast("long"), F.abs(n - m))
     # n + m = union + common, and union - common is at least this distance
     return (n + m - apart) * 100 >= (n + m + apart) * percent
@@ -216,21 +223,28 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     grown, grown_path = written(components(links), "components")
 
     def mixed(found: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components; a set without a link is its own."""
-        part = (buckets.select("key", "name").distinct().join(reps, "name")
-                .join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        """Members of the buckets that hold several components; a set without a link is its own.
+
+        ``before`` has a set's last keys before this one, in the order of the keys.
+        """
+        of = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select(
+            "name", "node", "component", "n_shingles", *[x.alias(s) for s, x in zip(FOLDED, folded())])
+        part = buckets.select("key", "name").distinct().join(of.select("name", "component"), "name")
         keys = part.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-        return part.join(keys, "key", "left_semi")
+        last = Window.partitionBy("name").orderBy("key").rowsBetween(-LOOK_BACK, -1)
+        kept = part.join(keys, "key", "left_semi").select("key", "name", F.collect_list("key").over(last).alias("before"))
+        return kept.join(of, "name").drop("name")
 
     rest, rest_path = written(mixed(grown), "mixed-buckets")
-    # a pair meets in many buckets; it is told in the least one only. A set has one key per block, so the lists are short.
-    listed = rest.groupBy("name").agg(F.collect_set("key").alias("keys"))
-    rest = rest.join(listed, "name")
+    # A pair meets in many buckets. It is passed over where both sets had one of their last keys in common: they
+    # met there, and in the first bucket of all they cannot have met before. What is told twice is told once after.
     across = (rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-                                   & _possible("x", "y", percent)
-                                   & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")))
+                                   & _possible("x", "y", percent, FOLDED) & ~F.arrays_overlap("x.before", "y.before"))
               .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    more, more_path = written(verify(across, docs, words, percent), "links")
+    by_node = reps.drop("name")
+    likely = (across.join(by_node.withColumnRenamed("node", "a").alias("x"), "a").join(by_node.withColumnRenamed("node", "b").alias("y"), "b")
+              .where(_possible("x", "y", percent)).select("a", "b"))
+    more, more_path = written(verify(likely, docs, words, percent), "links")
 
     # rows that share an id tie their sets together
     shared = known.join(firsts.select(*named, "node"), named).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
