@@ -137,14 +137,20 @@ def frames(content: bytes):
         at += 1
 
 
+FILE_FRAMES = 64       # frames of about half a megabyte of text each, or of one longer text
 NO_ID = -(1 << 63)     # stands for a null doc_id inside a file
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = 2,
                       percentile: float = PERCENTILE) -> None:
-    """Encode every text, close it with ``end_id``, write the files in ``doc_id`` order."""
+    """Encode every text, close it with ``end_id``, write the files in ``doc_id`` order.
+
+    Rows that share an id, or have none, follow each other in the order of the scan and are dealt
+    over partitions like all others. A file has at most ``FILE_FRAMES`` frames.
+    """
     vocabulary = tokenizer_path or default_tokenizer()
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    numbered = texts(docs).withColumn("tie", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def step(chunk: pa.RecordBatch) -> pa.RecordBatch:
         ids, counts = encoder(vocabulary)(chunk.column("text").to_pylist())
@@ -155,13 +161,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
         doc_ids = chunk.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
         return pa.RecordBatch.from_arrays([pa.array([frame(doc_ids, counts + 1, with_end, percentile)], pa.binary())], ["frame"])
 
-    run_on_chunks(ordered, step, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    run_on_chunks(ordered, step, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_FRAMES).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``place`` (ids of the file before it), ``doc_id``, ``ids`` (little-endian unsigned 32-bit)."""
+    """``file`` (numbered in order), ``place`` (ids of the file before it), ``doc_id``, ``ids`` (little-endian unsigned 32-bit)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    part = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
+    part, piece = (F.regexp_extract("path", p, 1).cast("long") for p in (r"part-(\d+)[^/]*$", r"-c(\d+)[^/]*$"))
 
     def work(batches):
         for batch in batches:
@@ -178,7 +184,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     yield whole
                     place += int(ends[-1])
 
-    return files.select(part.alias("file"), "content").mapInArrow(work, "file long, place long, doc_id long, ids binary")
+    return files.select((F.call_function("shiftleft", part, F.lit(24)) + piece).alias("file"), "content").mapInArrow(work, "file long, place long, doc_id long, ids binary")
 
 
 def token_file_digest(spark: SparkSession, path: str) -> DataFrame:
