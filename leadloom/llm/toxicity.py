@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII bytes of the lower-cased (A-Z) t
 word's hash picks its embedding. Filters of 1, 2 and 3 words slide over the whole text,
 the largest value of each goes to a logistic output. Fitting uses a bounded sample of the
 labelled rows; a fifth of it is kept out of the weights to calibrate the output and to
-choose a threshold for each language. The language is guessed from the function words of
+choose a threshold for each language (of fewer than 20 rows kept out, or of one label only, the
+rows of the fit serve for that, and a language with fewer than ten rows of a label shares the common threshold). The language is guessed from the function words of
 the text, never read from a column. Scores are shifted so that every language's
 threshold lies at 0.7.
 
@@ -29,7 +30,7 @@ BUCKETS = 1 << 15          # hashed words
 STEM = 4                   # a word is its own embedding plus that of its first bytes
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 SAMPLE_ROWS = 3_000        # of each label, at most; the only bound on what is learned from
-SAMPLE_WORDS = 5_000       # sampled rows have at most so many words
+PIECE = 1 << 14            # words that one step of the convolution works on
 EPOCHS, BATCH, RATE = 6, 32, 0.08
 LEAST_STEPS = 300          # few labelled rows are gone through more often
 CUT = 0.7
@@ -133,6 +134,26 @@ def spaced(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, starts
 
 
+def peaks(model: Model, padded: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per width the place and value of each filter's largest output in each text, piece by piece: texts of any length."""
+    n = len(padded) - max(WIDTHS) + 1
+    best = [np.zeros((len(starts), FILTERS), np.int64) for _ in WIDTHS]
+    value = [np.full((len(starts), FILTERS), -np.inf) for _ in WIDTHS]
+    for low in range(0, n, PIECE):
+        high = min(n, low + PIECE)
+        vectors = model.words[padded[low:high + max(WIDTHS) - 1]].sum(axis=1)
+        inside = np.flatnonzero((starts < high) & (np.maximum(stops, starts + 1) > low))
+        for i, (width, kernel) in enumerate(zip(WIDTHS, model.filters)):
+            z = sum(vectors[j:high - low + j] @ kernel[j] for j in range(width))
+            for d in inside.tolist():
+                a, b = max(int(starts[d]), low), min(max(int(stops[d]), int(starts[d]) + 1), high)
+                at = z[a - low:b - low].argmax(axis=0)
+                top = z[a - low + at, np.arange(FILTERS)]
+                more = top > value[i][d]
+                value[i][d][more], best[i][d][more] = top[more], (a + at)[more]
+    return best, value
+
+
 def fit_network(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Stochastic gradient steps with a rate per weight; gradients flow through the largest places only."""
     rng = np.random.default_rng(seed)
@@ -148,15 +169,8 @@ def fit_network(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Mo
             pick = order[k:k + BATCH]
             counts = np.array([len(docs[i]) for i in pick])
             padded, starts = spaced(np.concatenate([docs[i] for i in pick]), counts)
-            vectors = model.words[padded].sum(axis=1)
             stops = np.append(starts[1:], len(padded) - max(WIDTHS))
-            best, value = [], []
-            for width, kernel in zip(WIDTHS, model.filters):
-                n = len(padded) - max(WIDTHS) + 1
-                z = sum(vectors[j:n + j] @ kernel[j] for j in range(width))
-                at = np.array([a + z[a:max(b, a + 1)].argmax(axis=0) for a, b in zip(starts, stops)])
-                best.append(at)
-                value.append(np.take_along_axis(z, at, axis=0))
+            best, value = peaks(model, padded, starts, stops)
             raw = np.concatenate(value, axis=1) + model.bias
             hidden = np.maximum(raw, 0)
             margin = hidden @ model.out + model.out_bias
@@ -175,7 +189,7 @@ def fit_network(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Mo
             for i, width in enumerate(WIDTHS):
                 g = to_hidden[:, i * FILTERS:(i + 1) * FILTERS]
                 kernel, at = model.filters[i], best[i]
-                seen = np.stack([vectors[at + j] for j in range(width)])                   # width, batch, filter, dim
+                seen = np.stack([model.words[padded[at + j]].sum(axis=2) for j in range(width)])      # width, batch, filter, dim
                 for j in range(width):
                     push = (g[:, :, None] * kernel[j].T[None]).reshape(-1, DIM)
                     for part in (0, 1):
@@ -248,26 +262,30 @@ def learnable(labels: DataFrame, label: str, fold: int, folds: int) -> DataFrame
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: int, rows: int) -> DataFrame:
-    """At most ``rows`` rows of each label outside the fold, chosen by the hash of their ids."""
-    marked = learnable(labels, label, fold, folds)
+    """At most ``rows`` texts of each label outside the fold, chosen by the hash of their ids.
+
+    A repeated label row counts once; of the rows that share an id, the text with the least digest stands for all.
+    """
+    marked = learnable(labels, label, fold, folds).distinct()
     draw = F.xxhash64(F.col("doc_id"), F.lit(17))
     parts = [marked.where(F.col("y") == k).orderBy(draw, "doc_id").limit(rows) for k in (0, 1)]
     # 2 * rows ids at most, so the texts stay where they are
-    return texts(docs).join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
+    found = texts(docs).join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
+    least = F.min(F.struct(F.md5("text").alias("digest"), "text"))
+    return found.groupBy("doc_id", "y").agg(least.alias("one")).select("doc_id", F.col("one.text").alias("text"), "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 1, folds: int = 3,
-        rows: int = SAMPLE_ROWS, max_words: int = SAMPLE_WORDS) -> Model:
+        rows: int = SAMPLE_ROWS) -> Model:
     def work(batches):
         for chunk in text_chunks(batches):
             hashes, stems, counts = hash_words(*bytes_of(chunk.column("text")))
             ends = np.append(0, np.cumsum(counts))
             pairs = buckets_of(hashes, stems).astype(np.int32)
-            mine = [pairs[a:b].ravel() if b - a <= max_words else None for a, b in zip(ends[:-1], ends[1:])]
-            out = pa.RecordBatch.from_arrays(
+            mine = [pairs[a:b].ravel() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), chunk.column("y"), pa.array(guess_language(hashes, counts)),
                  pa.array(mine, pa.list_(pa.int32()))], ["doc_id", "y", "language", "words"])
-            yield out.filter(pa.array(counts <= max_words))
 
     sample = labelled_sample(docs, labels, label, fold, folds, rows).mapInArrow(
         work, "doc_id long, y int, language long, words array<int>").toArrow().sort_by([("doc_id", "ascending")])

@@ -7,7 +7,9 @@ A logistic fit turns the text's mean and extreme differences, and its compressed
 byte (junk often repeats itself), into a calibrated score.
 
 Defined results: null and empty texts are scored like a text without blocks. Without
-labelled rows of both classes every score is the rate of label 1 (1 without labels).
+labelled rows of both classes every score is the rate of label 1 (1 without labels). Half
+of the sampled rows build the dictionaries and the others fit the score; where a half lacks
+a label, all rows do both.
 Rows with null labels or null ids are not learned from.
 """
 
@@ -27,7 +29,6 @@ from leadloom.llm.toxicity import CUT, labelled_sample, logit
 BLOCK = 2_048
 DICTIONARY = 64 << 10
 SAMPLE_ROWS = 3_000        # of each label, at most; the only bound on what is learned from
-SAMPLE_BYTES = 16 << 10    # of a sampled text, in blocks spread over all of it, go to a dictionary
 LEVEL = 3
 
 
@@ -79,18 +80,15 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def build_dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; of too few samples, their text itself."""
+    """A trained dictionary; of too few samples, their whole text itself."""
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY:]
+        return b"".join(samples)
 
 
-def spread_blocks(text: bytes) -> list[bytes]:
-    """Blocks for a dictionary, spread evenly over the text."""
-    blocks = [text[k:k + BLOCK] for k in range(0, len(text), BLOCK)]
-    want = SAMPLE_BYTES // BLOCK
-    return blocks if len(blocks) <= want else [blocks[i * len(blocks) // want] for i in range(want)]
+def all_blocks(text: bytes) -> list[bytes]:
+    return [text[k:k + BLOCK] for k in range(0, len(text), BLOCK)]
 
 
 def fit_line(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -113,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
         for chunk in text_chunks(batches):
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), chunk.column("y"),
-                 pa.array([spread_blocks(t.encode()) for t in chunk.column("text").to_pylist()], pa.list_(pa.binary()))],
+                 pa.array([all_blocks(t.encode()) for t in chunk.column("text").to_pylist()], pa.list_(pa.binary()))],
                 ["doc_id", "y", "blocks"])
 
     found = sample.mapInArrow(blocks, "doc_id long, y int, blocks array<binary>").toArrow().sort_by([("doc_id", "ascending")])
