@@ -106,6 +106,8 @@ class Model:
         padded, starts = spaced(buckets, counts)
         whole, stem = np.ascontiguousarray(padded[:, 0]), np.ascontiguousarray(padded[:, 1])
         n = len(padded) - max(WIDTHS) + 1
+        # from each text's first word to the first place that is all padding: nothing of the next text
+        bounds = np.stack([starts, starts + counts + 1], axis=1).ravel()
         out = []
         for width, parts in zip(WIDTHS, tables):
             z = parts[0][whole[:n]]
@@ -113,7 +115,7 @@ class Model:
             for j in range(1, width):
                 z += parts[j][whole[j:n + j]]
                 z += parts[j][stem[j:n + j]]
-            out.append(np.maximum.reduceat(z, starts, axis=0))
+            out.append(np.maximum.reduceat(z, bounds, axis=0)[::2])
         return np.maximum(np.concatenate(out, axis=1) + self.bias, 0)
 
     def score(self, hashes: np.ndarray, stems: np.ndarray, counts: np.ndarray, tables, keys) -> np.ndarray:
@@ -142,11 +144,11 @@ def peaks(model: Model, padded: np.ndarray, starts: np.ndarray, stops: np.ndarra
     for low in range(0, n, PIECE):
         high = min(n, low + PIECE)
         vectors = model.words[padded[low:high + max(WIDTHS) - 1]].sum(axis=1)
-        inside = np.flatnonzero((starts < high) & (np.maximum(stops, starts + 1) > low))
+        inside = np.flatnonzero((starts < high) & (stops > low))
         for i, (width, kernel) in enumerate(zip(WIDTHS, model.filters)):
             z = sum(vectors[j:high - low + j] @ kernel[j] for j in range(width))
             for d in inside.tolist():
-                a, b = max(int(starts[d]), low), min(max(int(stops[d]), int(starts[d]) + 1), high)
+                a, b = max(int(starts[d]), low), min(int(stops[d]), high)
                 at = z[a - low:b - low].argmax(axis=0)
                 top = z[a - low + at, np.arange(FILTERS)]
                 more = top > value[i][d]
@@ -169,8 +171,7 @@ def fit_network(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Mo
             pick = order[k:k + BATCH]
             counts = np.array([len(docs[i]) for i in pick])
             padded, starts = spaced(np.concatenate([docs[i] for i in pick]), counts)
-            stops = np.append(starts[1:], len(padded) - max(WIDTHS))
-            best, value = peaks(model, padded, starts, stops)
+            best, value = peaks(model, padded, starts, starts + counts + 1)
             raw = np.concatenate(value, axis=1) + model.bias
             hidden = np.maximum(raw, 0)
             margin = hidden @ model.out + model.out_bias
