@@ -4,7 +4,8 @@ Vectors are dealt to shards of bounded size by the hash of their id. A shard's t
 builds its graph in batches: a beam search over the graph so far proposes neighbours, the
 relaxed rule drops a candidate that is closer (by a factor alpha) to a neighbour already
 kept, and kept edges are added the other way round, pruned again where a list is full.
-Then it answers all queries by beam search, and the shards' answers meet per query.
+The graphs are written once. Queries come in blocks of bounded size; each block meets each
+shard's graph in a group of its own, answers by beam search, and the answers meet per query.
 
 Copies of one vector are one node with its smallest ids (as many as can be asked for).
 Distances of the answers are computed anew in double precision from the given vectors.
@@ -23,18 +24,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import prepare
+from leadloom.llm.graph import written
 
 SHARD_ROWS = 5_000
+QUERY_BLOCK = 20_000       # queries that one group answers, or so
 DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
 SEARCH_BEAM, WIDE, STARTS = 96, 4, 8
 BATCH = 256
 
 
 class Graph:
-    def __init__(self, vectors: np.ndarray, seed: int = 11):
+    def __init__(self, vectors: np.ndarray, seed: int = 11, built: tuple[np.ndarray, np.ndarray] | None = None):
+        """Builds the graph, or takes the edges and starts of one that was ``built`` from these vectors."""
         self.x = np.ascontiguousarray(vectors, np.float32)
         self.square = np.einsum("nd,nd->n", self.x, self.x)
         n = len(self.x)
+        if built is not None:
+            self.out, self.starts = built
+            return
         rng = np.random.default_rng(seed)
         self.out = np.full((n, DEGREE), -1, np.int32)
         first = min(DEGREE // 4, n - 1)
@@ -156,29 +163,52 @@ def usable(vectors: DataFrame) -> DataFrame:
                     F.transform("embedding", lambda v: v.cast("double") + 0.0).alias("vector")))
 
 
-def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def built_graphs(vectors: DataFrame, copies: int, shards: int) -> DataFrame:
+    """One row per node: ``size``, ``shard``, ``node`` (its number there), ``ids``, ``vector``, ``edges``, ``is_start``."""
+    # the smallest ids of a vector; Spark cuts each task's share to so many before the shuffle
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    nodes = (vectors.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= copies)
+             .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    dealt = nodes.select(F.size("vector").alias("size"), F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).alias("shard"),
+                         "ids", "vector", F.element_at("ids", 1).alias("first"))
+
+    def build(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("first", "ascending")]).drop_columns(["first"])
+        graph = Graph(np.array(shard.column("vector").combine_chunks().flatten()).reshape(shard.num_rows, -1))
+        ends = np.arange(shard.num_rows + 1, dtype=np.int32) * DEGREE
+        whole = (shard.append_column("node", pa.array(np.arange(shard.num_rows, dtype=np.int32)))
+                 .append_column("edges", pa.ListArray.from_arrays(pa.array(ends), pa.array(graph.out.ravel())))
+                 .append_column("is_start", pa.array(np.isin(np.arange(shard.num_rows), graph.starts))))
+        lists = {"ids": pa.int64(), "vector": pa.float64(), "edges": pa.int32()}
+        return whole.cast(pa.schema([(f.name, pa.list_(lists[f.name]) if f.name in lists else f.type) for f in whole.schema]))
+
+    kinds = "size int, shard long, ids array<long>, vector array<double>, node int, edges array<int>, is_start boolean"
+    return dealt.groupBy("size", "shard").applyInArrow(build, kinds)
+
+
+def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, shard_rows: int = SHARD_ROWS,
+            query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each id divisible by ``query_step``."""
     prepare(vectors.sparkSession)
     held = usable(vectors)
-    # the smallest k + 1 ids of a vector; Spark cuts each task's share to so many before the shuffle
-    copies = Window.partitionBy("vector").orderBy("vec_id")
-    nodes = (held.distinct().withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1)
-             .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    shards = max(1, -(-held.count() // shard_rows))
-    size = F.size("vector").alias("size")
-    dealt = nodes.select(size, F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).alias("shard"), "ids", "vector")
+    told = held.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("vec_id") % query_step == 0).alias("queries")).first()
+    shards, blocks = max(1, -(-told["rows"] // shard_rows)), max(1, -(-told["queries"] // query_block))
+    graphs, _ = written(built_graphs(held, k + 1, shards), "graphs")
+    each_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
     # the stated query set goes to every shard
     asked = held.where(F.col("vec_id") % query_step == 0).select(
-        size, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "vec_id", "vector")
+        F.size("vector").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "vector")
     width = k + 1
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        left = left.sort_by([("ids_first", "ascending")])
+        left = left.sort_by([("node", "ascending")])
         x, q = (np.array(t.column("vector").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (left, right))
-        graph = Graph(x)
+        edges = np.array(left.column("edges").combine_chunks().flatten()).reshape(len(x), DEGREE)
+        graph = Graph(x, built=(edges, np.flatnonzero(left.column("is_start").to_numpy())))
         parts = []
         for at in range(0, len(q), BATCH):
             some = q[at:at + BATCH]
@@ -192,8 +222,8 @@ def nearest(vectors: DataFrame, k: int = 10, query_step: int = 100, shard_rows:
         query, node, score = (np.concatenate(p) for p in zip(*parts))
         return pa.table([pa.array(query), left.column("ids").combine_chunks().take(pa.array(node)), pa.array(score)], schema=schema)
 
-    found = (dealt.withColumn("ids_first", F.element_at("ids", 1)).groupBy("size", "shard")
-             .cogroup(asked.groupBy("size", "shard")).applyInArrow(answer, "query_id long, ids array<long>, score double"))
+    found = (graphs.select("*", each_block).groupBy("size", "shard", "block")
+             .cogroup(asked.groupBy("size", "shard", "block")).applyInArrow(answer, "query_id long, ids array<long>, score double"))
     each = (found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
             .groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -285,3 +285,28 @@ def test_next_document_over_many_blocks(spark):
     one = imatch.with_next(texts(make(spark, ["alone"])), ["text"]).collect()
     assert [(r.text, r.next_text) for r in one] == [("alone", "alone")]
     assert imatch.with_next(texts(docs.limit(0)), ["text"]).count() == 0
+
+
+# ------------------------------------------------------------------ graph search in blocks, and in tight clusters
+
+def test_search_of_tight_clusters_in_query_blocks(spark):
+    """Near copies: 40 groups of 30 vectors, each a thousandth apart."""
+    from leadloom.llm import graph_search
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    x = (centres[:, None] + rng.normal(0, 1e-3, (40, 30, 24))).reshape(-1, 24)
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    ask = lambda block: sorted(tuple(r) for r in graph_search.nearest(
+        df, query_step=20, shard_rows=400, query_block=block).collect())
+    whole = ask(1000)
+    assert ask(13) == whole
+    d = np.sqrt(((x[::20, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
+    hits = 0
+    for q in range(0, len(x), 20):
+        near = np.where(np.arange(len(x)) == q, np.inf, d[q // 20])
+        got = {vec: score for query, _, vec, score in whole if query == q}
+        assert len(got) == 10 and all(np.isclose(near[v], s, rtol=1e-12) for v, s in got.items())
+        hits += len(set(np.lexsort((np.arange(len(x)), near))[:10].tolist()) & set(got))
+    assert hits >= 0.9 * 10 * len(range(0, len(x), 20))
