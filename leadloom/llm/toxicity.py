@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadloom.llm.common import BYTE_TABLE, Spans, bytes_of, mix, prepare, text_chunks, texts, word_spans
+from leadloom.llm.common import BYTE_TABLE, Spans, bytes_of, mix, prepare, text_chunks, texts, trim, word_spans
 
 BUCKETS = 1 << 15          # hashed words
 STEM = 4                   # a word is its own embedding plus that of its first bytes
@@ -295,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 1,
         blank = Model(np.zeros((1, DIM)), [], np.zeros(0), np.zeros(0))
         blank.constant = float(y.mean()) if len(y) else 0.0
         return blank
-    words = [w.values.to_numpy().astype(np.int64).reshape(-1, 2) for w in sample.column("words")]
+    words = [w.values.to_numpy().reshape(-1, 2) for w in sample.column("words")]
     language = sample.column("language").to_numpy()
     kept_out = np.array([zlib.crc32(b"calibrate:%d" % i) % 5 == 0 for i in sample.column("doc_id").to_pylist()])
     if kept_out.sum() < 20 or not 0 < y[~kept_out].mean() < 1 or not 0 < y[kept_out].mean() < 1:
@@ -310,6 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 1,
     rate = learnable(labels, label, fold, folds).agg(F.avg("y")).first()[0]
     calibrate(model, np.concatenate(margin), language[check], y[check], rate)
     model.words = model.words.astype(np.float32)
+    del sample, words
+    trim()
     return model
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from leadloom.llm.common import prepare, text_chunks
+from leadloom.llm.common import prepare, text_chunks, trim
 from leadloom.llm.toxicity import CUT, labelled_sample, logit
 
 BLOCK = 2_048
@@ -124,6 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
         half[:] = True
     texts_of = [[b for b in row.as_py()] for row in found.column("blocks")]
     model = Model(*(build_dictionary([b for i in np.flatnonzero(half & (y == k)) for b in texts_of[i] if b]) for k in (1, 0)))
+    del found, texts_of
+    trim()
     own = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
