@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions.columns import quoted
-from leadloom.operators import enrich
+from leadloom.operators.enrich import call_with_retry, collision_names, enrich_lookup
 from leadloom.operators.project import all_present, request_map, require_columns
 from leadloom.operators.ranks import row_index
 from leadloom.session import materialize, scratch_path
@@ -93,7 +93,7 @@ def _calls(spec, provider: Callable, tasks: int, start: float) -> Callable:
                 pacer.acquire(slots.pop() if slots else None)
                 tries.append(1)
 
-            answer, success = enrich.call_with_retry(
+            answer, success = call_with_retry(
                 lambda: handler(provider(dict(request), url=url, headers=headers, timeout=timeout), url=url, raw_json=raw),
                 n_retry, wait, acquire)
             if not raw:
@@ -164,10 +164,10 @@ def enrich_logged(df: DataFrame, spec, provider: Callable, fields_: Sequence[str
         columns = [(spec.renamed(n), F.when(F.col("success"), F.try_element_at(told, F.lit(n))), None) for n in fields_]
     if success:
         columns.append((success, F.col("success"), F.lit(False)))
-    final = enrich.collision_names(df.columns, [name for name, _, _ in columns])
+    final = collision_names(df.columns, [name for name, _, _ in columns])
     values = answers.select("key", *[v.alias(f"_value{i}") for i, (_, v, _) in enumerate(columns)])
     keyed = df.withColumn("_request_key", F.when(eligible, request_key(request)))
-    joined = enrich.enrich_lookup(keyed, values, {"_request_key": "key"}, unique=True)
+    joined = enrich_lookup(keyed, values, {"_request_key": "key"}, unique=True)
     return joined.select(*[quoted(c) for c in df.columns], *[
         (F.col(f"_value{i}") if absent is None else F.coalesce(f"_value{i}", absent)).alias(name)
         for i, (name, (_, _, absent)) in enumerate(zip(final, columns))])

@@ -17,17 +17,22 @@ has, and each column takes the text at its place in the header of the record's f
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadloom.operators.ranks import MAX_BROADCAST_ROWS
 from leadloom.session import materialize
 
+# The code travels to the Python workers with the task: nothing to install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _CLOSING = re.compile(rb'[^"]*+(?:""[^"]*+)*+"')
 
 
