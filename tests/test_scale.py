@@ -26,6 +26,21 @@ def new_files(spark, name, run):
     return told, files
 
 
+def test_quoted_breaks_are_written_by_the_tasks_that_read(spark, tmp_path):
+    texts = {i: f'a "quoted"{i}\n\nline,\t{"x" * (i % 7)}' for i in range(60)}
+    spark.createDataFrame([(i, t, len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long").repartition(
+        3).write.parquet(f"{tmp_path}/documents.parquet")
+    split_bytes = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))     # a task per file
+    try:
+        got, files = new_files(spark, "quoted-breaks", lambda: entry.q_quoted_breaks(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", split_bytes)
+    assert len(files) == 3
+    want = [(i, len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in texts.items()] + [(None, None, None)] * 6
+    assert sorted(map(str, want)) == sorted(str((r["id"], r["n"], r["digest"])) for r in got)
+
+
 @pytest.fixture(scope="module")
 def long_table(spark):
     x = F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")
