@@ -41,6 +41,23 @@ def test_quoted_breaks_are_written_by_the_tasks_that_read(spark, tmp_path):
     assert sorted(map(str, want)) == sorted(str((r["id"], r["n"], r["digest"])) for r in got)
 
 
+def test_file_chunks_are_sorted_by_several_tasks(spark, tmp_path):
+    # keys come in no order, some of them often, one is null
+    keys = [(i * 7919) % 2600 if i % 3 else 1000 for i in range(4000)] + [None]
+    spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, files = new_files(spark, "orders-file", lambda: entry.q_file_chunks(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [os.path.getsize(f) for f in files]
+    assert len(files) > 1 and max(sizes) < 0.6 * sum(sizes)
+    order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    assert sorted((r["n"], r["o_orderkey"], r["o_custkey"], r["chunk"]) for r in got) == [
+        (n, keys[i], i, n // 1000) for n, i in enumerate(order) if n >= 2000]
+
+
 @pytest.fixture(scope="module")
 def long_table(spark):
     x = F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")
