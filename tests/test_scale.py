@@ -83,3 +83,24 @@ def test_jobs_of_a_fit_do_not_grow_with_its_steps(spark, long_table):
 
     jobs(1)
     assert jobs(4) <= jobs(1) + 2
+
+
+def test_rows_of_the_state_do_not_grow_with_the_models(spark, long_table, monkeypatch):
+    rows = long_table.limit(900).cache()
+    specs = [B.ModelSpec(B.TreeParams(0.1 * (1 + m % 5), 2, 2, 3 + m // 5), 0, m % 3) for m in range(20)]
+    monkeypatch.setattr(B, "STATE_BYTES", 8 * 300 * 8)      # eight models of a block, raising= fails where there is no bound
+    monkeypatch.setattr(B, "STEPS_PER_STATE", 2)
+
+    def fit(**sizes):
+        out = B.fit_boosters(rows, specs, "key", "y", "features", ["f"], keep_trees=True, together=4, **sizes)
+        margins = {(r["key"], m): x for r in out.margins.collect() for m, x in zip(r["models"], r["margins"])}
+        assert len(margins) == 900 * 20 and all(len(r["models"]) % 4 == 0 for r in out.margins.select("models").collect())
+        return out.trees(), margins
+
+    before = set(written(spark, "boosting-state"))
+    steps = fit(block_rows=300)
+    states = [f for d, fs in written(spark, "boosting-state").items() if d not in before for f in fs]
+    assert states and spark.read.parquet(*states).agg(F.max(F.length("margins"))).first()[0] <= B.STATE_BYTES
+    # in one task over several blocks, and over one block
+    assert steps == fit(block_rows=300, apart_rows=900) == fit(block_rows=1000)
+    rows.unpersist()
