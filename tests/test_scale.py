@@ -81,7 +81,6 @@ def test_jobs_of_a_fit_do_not_grow_with_its_steps(spark, long_table):
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
-    jobs(1)
     assert jobs(4) <= jobs(1) + 2
 
 
