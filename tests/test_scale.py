@@ -103,3 +103,19 @@ def test_rows_of_the_state_do_not_grow_with_the_models(spark, long_table, monkey
     # in one task over several blocks, and over one block
     assert steps == fit(block_rows=300, apart_rows=900) == fit(block_rows=1000)
     rows.unpersist()
+
+
+def test_margins_are_stored_row_by_row(spark, long_table):
+    """What a reader holds at a time does not grow with the block or the models."""
+    rows = long_table.limit(700).withColumn("key", F.when(F.col("key") != "5", F.col("key"))).cache()
+    specs = [B.ModelSpec(B.TreeParams(0.3, 2, 2, 3), 0, m % 3) for m in range(4)]
+    before = set(written(spark, "boosted"))
+    boosted = B.fit_boosters(rows, specs, "key", "y", "features", ["f"], keep_trees=True, together=2, apart_rows=1000)
+    [files] = [f for d, f in written(spark, "boosted").items() if d not in before]
+    stored = spark.read.parquet(*files).where("trees is null")
+    assert stored.count() == 700 * 2 and stored.agg(F.max(F.size("margins"))).first()[0] == 2
+    got = boosted.margins.collect()
+    assert sorted((str(r["key"]), r["y"], *r["folds"], *r["models"]) for r in got) == sorted(
+        (str(r["key"]), r["y"], r["f"], m, m + 1) for r in rows.collect() for m in (0, 2))
+    assert sorted(boosted.trees()) == [0, 1, 2, 3]
+    rows.unpersist()
