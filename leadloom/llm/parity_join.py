@@ -27,6 +27,7 @@ are one document that holds the links of all of them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -123,6 +124,7 @@ def _signed(x) -> np.ndarray:
 
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 FOLDED = [f"f{i}" for i in range(SKETCH_WORDS // 2)]
+ID_BITS = 1 << 22          # half a megabyte in the plan
 LOOK_BACK = 6              # keys before, by which a pair is known to have met already
 
 
@@ -182,9 +184,32 @@ def _possible(a: str, b: str, percent: int, sketch: list[str] = SKETCH) -> Colum
     return (n + m - apart) * 100 >= (n + m + apart) * percent
 
 
+def _among(ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether an id may be one of ``ids``: a bit per hash of them, in at most ``ID_BITS`` bits whatever the table."""
+    n = ids.count()
+    bits = min(ID_BITS, max(1 << 10, 1 << (8 * n).bit_length()))
+
+    def place(c: Column) -> Column:
+        return F.xxhash64(c).bitwiseAND(bits - 1)
+
+    slot = place(F.col("id"))
+    one = F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(7).cast("int"))
+    found = ids.groupBy(F.shiftright(slot, 3).alias("byte")).agg(F.bit_or(one).alias("set")).toArrow()      # a row per byte at most
+    held = np.zeros(bits >> 3, np.uint8)
+    held[found["byte"].to_numpy()] = found["set"].to_numpy()
+    told = F.lit(held.tobytes())
+
+    def test(c: Column) -> Column:
+        byte = F.conv(F.hex(F.substr(told, (F.shiftright(place(c), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, place(c).bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+
+    return test
+
+
 def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``: ids) whose texts are similar."""
-    d = texts(docs).where(F.col("doc_id").isNotNull())
+    """The pairs (``a``, ``b``: ids) whose texts are similar. ``pairs`` are read several times; other texts hardly move."""
+    member = _among(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    d = texts(docs).where(F.col("doc_id").isNotNull()).where(member(F.col("doc_id")))
     both = (pairs.join(d.select(F.col("doc_id").alias("a"), "text"), "a")
             .join(d.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other"))
 
@@ -218,7 +243,7 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 .where(_possible("x", "y", percent) & (F.col("x.node") != F.col("y.node")))
                 .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
-    stars = pairs_of(buckets.where("name <> lo").select(F.col("lo").alias("p"), F.col("name").alias("q")).distinct())
+    stars, star_path = written(pairs_of(buckets.where("name <> lo").select(F.col("lo").alias("p"), F.col("name").alias("q")).distinct()), "pairs")
     links, link_path = written(verify(stars, docs, words, percent), "links")
     grown, grown_path = written(components(links), "components")
 
@@ -236,14 +261,17 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return kept.join(of, "name").drop("name")
 
     rest, rest_path = written(mixed(grown), "mixed-buckets")
+    discard(spark, star_path, bucket_path, grown_path)
     # A pair meets in many buckets. It is passed over where both sets had one of their last keys in common: they
     # met there, and in the first bucket of all they cannot have met before. What is told twice is told once after.
     across = (rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
                                    & _possible("x", "y", percent, FOLDED) & ~F.arrays_overlap("x.before", "y.before"))
               .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     by_node = reps.drop("name")
-    likely = (across.join(by_node.withColumnRenamed("node", "a").alias("x"), "a").join(by_node.withColumnRenamed("node", "b").alias("y"), "b")
-              .where(_possible("x", "y", percent)).select("a", "b"))
+    likely, likely_path = written(
+        across.join(by_node.withColumnRenamed("node", "a").alias("x"), "a").join(by_node.withColumnRenamed("node", "b").alias("y"), "b")
+        .where(_possible("x", "y", percent)).select("a", "b"), "pairs")
+    discard(spark, rest_path)
     more, more_path = written(verify(likely, docs, words, percent), "links")
 
     # rows that share an id tie their sets together
@@ -254,5 +282,5 @@ def similar_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
               .join(final, F.coalesce("_rep", "doc_id") == F.col("node"), "left")
               .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_rep", "doc_id")).alias("component_id")))
     out, _ = written(member, "classes")
-    discard(spark, digest_path, first_path, bucket_path, link_path, grown_path, rest_path, more_path, final_path)
+    discard(spark, digest_path, first_path, link_path, likely_path, more_path, final_path)
     return out

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from leadloom.llm.common import BYTE_TABLE, Spans, bytes_of, offsets_of, prepare, ranges, text_chunks
-from leadloom.llm.graph import written
+from leadloom.llm.graph import discard, written
 
 LENGTH = 100
 TRIGGER = 40               # bytes of a trigger; long ones seldom repeat by chance, short ones make fewer phrases
@@ -222,8 +222,8 @@ def keyed_rows(docs: DataFrame, *more) -> DataFrame:
                        F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("part"), text.alias("text"), *more)
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc``, ``part``, ``at``, ``count``: runs of windows that also start earlier."""
+def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, str]:
+    """``doc``, ``part``, ``at``, ``count``: runs of windows that also start earlier; with the path of what they read."""
     rows = keyed_rows(docs)
     trigger = Window.partitionBy("done", "key")
     phrase = Window.partitionBy("done", "key", "phrase").orderBy("doc", "part", "at")
@@ -231,7 +231,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
            .withColumn("nth", F.rank().over(phrase))
            .withColumn("low", F.min("phrase").over(trigger)).withColumn("high", F.max("phrase").over(trigger)))
     # "done" and later occurrences are settled; a first one is open if its trigger has other phrases
-    found, _ = written(
+    found, path = written(
         met.where(F.col("done") | (F.col("nth") > 1) | (F.col("low") != F.col("high")))
         .select((F.col("done") | (F.col("nth") > 1)).alias("done"), "doc", "part", "at", "count"), "phrases")
     spots = (found.where("not done").groupBy("doc", "part")
@@ -239,14 +239,17 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     windows = window_rows(rows.join(spots, ["doc", "part"]), length)
     later = windows.withColumn("nth", F.rank().over(
         Window.partitionBy("done", "key").orderBy("doc", "part", "at"))).where("done or nth > 1")
-    return found.where("done").select("doc", "part", "at", "count").unionAll(later.select("doc", "part", "at", "count"))
+    return found.where("done").select("doc", "part", "at", "count").unionAll(later.select("doc", "part", "at", "count")), path
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Every row with ``n_bytes``, ``spans`` (removed runs: start, length), ``kept`` (the other bytes; with ``as_text``
     as text without characters that were cut) and ``carried``, a struct of the columns ``keep``."""
     carried = F.struct(*[F.col(f"`{c}`") for c in keep] if keep else [F.lit(True).alias("none")]).alias("carried")
-    marks = repeated_windows(docs, length).groupBy("doc", "part").agg(F.collect_list(F.struct("at", "count")).alias("marks"))
+    windows, path = repeated_windows(docs, length)
+    # written, so that the texts are not shuffled twice at once
+    marks, _ = written(windows.groupBy("doc", "part").agg(F.collect_list(F.struct("at", "count")).alias("marks")), "marks")
+    discard(docs.sparkSession, path)
     joined = keyed_rows(docs, carried).join(marks, ["doc", "part"], "left")
 
     def work(batches):
