@@ -4,12 +4,14 @@ import glob
 import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from leadloom.plans import boosting as B
+from leadloom.plans import trees as T
 from leadloom.session import shared_folder
 
 
@@ -119,3 +121,51 @@ def test_margins_are_stored_row_by_row(spark, long_table):
         (str(r["key"]), r["y"], r["f"], m, m + 1) for r in rows.collect() for m in (0, 2))
     assert sorted(boosted.trees()) == [0, 1, 2, 3]
     rows.unpersist()
+
+
+def test_models_are_calibrated_where_they_are_trained(spark, long_table, monkeypatch):
+    """No pass over stored margins per Newton step; sigmoids, metrics and held-out rows as by the passes."""
+    rows = long_table.limit(2000).select(F.md5("key").alias("_id"), F.col("y").alias("_label"), "features").cache()
+    rows.count()
+
+    def fitted(**sizes):
+        factory = T.CalibratedTreesFactory(k=3, scoring=["roc_auc", "neg_log_loss"], n_optimization_rounds=2,
+                                           space={"maxIter": ("integer", 2, 4), "maxLeaves": ("log2", 2, 8)}, **sizes)
+        model = factory.optimize(rows)
+        unseen = {r["_id"]: r["probability"] for r in factory.out_of_fold_probability(rows, model).collect()}
+        assert len(unseen) == 2000 and None not in unseen
+        return factory.trials, model.sigmoids, unseen
+
+    trials, sigmoids, unseen = fitted(block_rows=700)        # in lockstep
+    monkeypatch.setattr(T, "fit_sigmoids", None)
+    here = fitted()
+    for was, now in zip(trials, here[0]):
+        assert was["params"] == now["params"]
+        for name in ("roc_auc", "neg_log_loss"):
+            assert now["scores"][name] == pytest.approx(was["scores"][name], abs=1e-7)
+    for was, now in zip(sigmoids, here[1]):
+        assert now == pytest.approx(was, rel=1e-4)
+    assert here[2] == pytest.approx(unseen, abs=1e-6)
+    rows.unpersist()
+
+
+def test_sums_of_hot_bins():
+    """Histograms are exact where rows and hessians are summed as one, at its bound and beyond."""
+    n = B.SHARED_ROWS - 1
+    codes = np.zeros((3 * n, 2), np.uint16)
+    codes[:, 0] = np.arange(3 * n) % 3                       # as many rows in a bin as may be
+    codes[: n + 5, 1] = 1                                    # more than that
+    bins = B.Bins(B.Layout(4, ((0, 1), (2, 3))), [np.array([0.0, 1.0]), np.array([0.0])])
+    rng = np.random.default_rng(1)
+    g, h = rng.integers(-(1 << 24), 1 << 24, 3 * n).astype(float), np.full(3 * n, float(1 << 22))
+    rows = B.Rows(bins, codes, np.zeros(3 * n), np.zeros((3 * n, 1), np.int8))
+    counts = rows.counts()
+    assert max(counts[0]) == n < max(counts[1])
+    for parts in ([np.arange(3 * n)], [np.arange(3 * n - 1)], [np.arange(0, 3 * n, 2), np.arange(1, 3 * n, 2)]):
+        got = rows.sums(parts, g, h, counts)
+        assert np.array_equal(got, rows.sums(parts, g, h))
+        for k, part in enumerate(parts):
+            for f in range(2):
+                for b in range(2):
+                    at = part[codes[part, f] == b]
+                    assert got[k, :, bins.starts[f] + b].tolist() == [len(at), g[at].sum(), h[at].sum()]
