@@ -41,13 +41,21 @@ def ordinal_encode(df: DataFrame, columns: Sequence[str], model: StringIndexerMo
         for c, n in zip(columns, sizes)})
 
 
-def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact interpolated median per numeric column (0 when a column has no value); a range-bucketed pass per column."""
+def fit_medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float]:
+    """Median per numeric column (0 when a column has no value).
+
+    Exact interpolated medians take a range-bucketed pass per column. ``exact=False`` gets all
+    of them from one scan with bounded sketches.
+    """
     if not columns:
         return {}
-    with ThreadPoolExecutor(min(8, len(columns))) as pool:      # independent jobs
-        found = list(pool.map(lambda c: quantile_list(df, c, 3), columns))
-    return {c: values[1] if values else 0.0 for c, values in zip(columns, found)}
+    if exact:
+        with ThreadPoolExecutor(min(8, len(columns))) as pool:      # independent jobs
+            found = list(pool.map(lambda c: quantile_list(df, c, 3), columns))
+        return {c: values[1] if values else 0.0 for c, values in zip(columns, found)}
+    row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), 0.5, 10_000).alias(f"m{i}")
+                   for i, c in enumerate(columns)]).first()
+    return {c: float(row[f"m{i}"]) if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(columns)}
 
 
 def impute_indicator(df: DataFrame, columns: Sequence[str], medians: Mapping[str, float] | None = None,
